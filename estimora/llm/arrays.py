@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 2_000_000
 
 
-def row_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `limit` bytes in `column`, so that memory doesn't follow the batch."""
+def row_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `limit` bytes in `column` and `rows` rows at most, so that memory doesn't follow the batch."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -23,7 +23,7 @@ def row_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUN
         ends, at = np.cumsum(sizes, dtype=np.int64), 0
         while at < n:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + limit, "right"))))
             yield batch.slice(at, to - at)
             at = to
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estimora.llm import bpe, token_files
+from estimora.llm import bpe, jaccard, langid, token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,13 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+@_query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,3 +53,13 @@ def file_system(path: str):
     if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
+
+
+#: Ids that are sent to all executors at most, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def joined_by_id(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """A left semi or anti join with a saved table of distinct ids, broadcast only if it is small."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if small else ids, key, how)
