@@ -156,7 +156,9 @@ def read_token_files(manifest: DataFrame, folder: str, itemsize: int) -> DataFra
                     crc = [zlib.crc32(ids[offsets[k] : offsets[k + 1]].astype("<u4")) for k in range(a, b)]
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], mask=nulls[a:b]), pa.array(offsets[a:b] + file["base"]), pa.array(np.diff(offsets[a : b + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.repartition("part").mapInArrow(read, schema)
+    # a number of its own: rows of a manifest are small, and their size says nothing of the work
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.repartition(tasks, "part").mapInArrow(read, schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
