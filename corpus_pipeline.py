@@ -1,7 +1,67 @@
-"""The corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: language identification, near-duplicate removal, benchmark decontamination,
+masking of personal data, and token ids, each stage on all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes to the shared
+folder and reads again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from estimora.llm import bpe, decontaminate, jaccard, langid, pii
+from estimora.llm.queries import vocabulary
+from estimora.llm.shared import joined_by_id, saved
+
+#: The least score of a language that is believed.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language: those without a letter, and those of an uncertain one."""
+    found = langid.predicted(docs, langid.fit(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each class of near duplicates."""
+    copies = jaccard.classes(docs).filter("component_id < doc_id").select("doc_id").distinct()
+    return joined_by_id(docs, saved(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item, be it with a few edits."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hits = decontaminate.contaminated(docs, benchmark).select("doc_id").distinct()
+    return joined_by_id(docs, saved(hits, "hits"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask personal data in the texts, and count their characters anew."""
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of ids and decoded text of each document."""
+    return bpe.round_trip(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("token_ids", token_ids),
+]
+
+#: Trained models, approximate search and byte-pair merges aren't expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
