@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estimora.llm import bpe, decontaminate, jaccard, langid, pii, token_files
+from estimora.llm import bpe, decontaminate, html_main, jaccard, langid, near_vectors, pii, token_files, trie_counts, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,23 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@_query
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_classes(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extracted(_table(spark, sf_dir, "pages"))
