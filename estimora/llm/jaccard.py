@@ -1,15 +1,17 @@
 """Jaccard join on word shingles by a grouped prefix join.
 
-A document's shingles are ordered by how common they are (the very frequent ones last) and then
-by hash. Two sets that are similar enough share a shingle of their prefixes, so only prefixes are
-indexed. Documents with the same prefix and size make one group, which stands for its members in
-the index; pairs of groups are filtered by size and by the number of prefix shingles they share;
-the pairs that remain are expanded to their members, and these are verified on whole sets.
+A document's shingles are ordered by how common they are, rare ones first, and then by hash. Two
+sets that are similar enough share shingles of their prefixes, so only prefixes are indexed.
+Documents with the same prefix and size make one group, which stands for its members in the
+index; pairs of groups are filtered by size, by the number of prefix shingles that either shares
+with any other, and by the number that they share with each other; the pairs that remain are
+expanded to their members, and these are verified on whole sets.
 
 What is asked for are the classes of linked documents, so pairs whose link is already implied by
-others need no verification. Verification comes in two passes: first each group with one or two
-of those it meets in each list of the index, then all pairs left of groups that the first pass
-put into different classes. No pair of different classes that passes the filters is skipped.
+others need no verification. Verification comes in two passes: first each group with two of those
+it meets in each list of the index (the one whose prefix is shared the most, as the original of
+many near copies is, and the next in size), then all pairs left of groups that the first pass put
+into different classes. No pair of different classes that passes the filters is skipped.
 
 Shingles and sets are compared by 64-bit hashes. Defined results: a null or empty text, or one of
 white space alone, has no shingles and its own class; a text with fewer words than a shingle is
@@ -31,9 +33,9 @@ from estimora.llm.arrays import constants, grams, mixed, row_chunks, text_bytes,
 from estimora.llm.components import connected
 from estimora.llm.shared import dropped, joined_by_id, saved
 
-#: Shingles that a task counts at once, and how many of the most frequent ones are put last. These
-#: only set the order of shingles; any order gives the same classes.
-COUNTED_AT_ONCE, FREQUENT = 3_000_000, 100_000
+#: Shingles that a task counts at once, and how many of the most frequent ones have a level of their
+#: own in the order (9 bytes each). Any order gives the same classes; a good one has short lists.
+COUNTED_AT_ONCE, FREQUENT = 3_000_000, 1_000_000
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +67,9 @@ def sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def frequent(docs: DataFrame, size: int, most: int = FREQUENT) -> np.ndarray:
-    """Hashes of about the most frequent shingles, `most` at most, of all documents."""
+def frequent(docs: DataFrame, size: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of about the most frequent shingles of all documents, `most` at most, and a
+    level for each: the logarithm of how often tasks have seen it more than twice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -84,8 +87,10 @@ def frequent(docs: DataFrame, size: int, most: int = FREQUENT) -> np.ndarray:
             yield repeated()
 
     counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.filter("n >= 8").orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+    top = counts.filter("n >= 8").orderBy(F.desc("n"), "h").limit(most).select("h", F.log2("n").cast("int").alias("level")).toArrow()
+    hashes = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], top.column("level").to_numpy().astype(np.int8)[order]
 
 
 def prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -96,16 +101,18 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     last = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = last.value, set()
+        (common, levels), seen = last.value, set()
         for chunk in row_chunks(batches, "text"):
             ns, sigs, keys, heads = [], [], [], []
             for x in sets(chunk.column("text"), size):
                 n = len(x)
                 with np.errstate(over="ignore"):
                     sig = int(mixed(x * np.uint64(0xD6E8FEB86659FD93)).sum()) if n else 0
-                    at = np.searchsorted(common, x)
-                    late = (common[np.minimum(at, len(common) - 1)] == x) if len(common) and n else np.zeros(n, bool)
-                    ordered = np.concatenate([x[~late], x[late]]) if late.any() else x
+                    ordered = x
+                    if len(common) and n:
+                        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                        level = np.where(common[at] == x, levels[at], 0)
+                        ordered = x[np.argsort(level, kind="stable")]
                     head = ordered[: n - (num * n + den - 1) // den + 1] if n else x
                     key = int(mixed((mixed(head + np.uint64(n)) * np.uint64(3)).sum(keepdims=True))[0]) if n else 0
                 ns.append(n)
@@ -150,16 +157,20 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
     members = saved(same.filter("cid IS NOT NULL"), "members")
     groups = members.groupBy("gkey", "n").agg(F.min("cid").alias("head"))
 
-    # the index: lists with more than one group, and for each entry two others of its list
-    w = W.Window.partitionBy("h").orderBy("n", "gkey")
-    whole = W.Window.partitionBy("h").orderBy("n", "gkey").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
+    # the index: lists with more than one group, and for each entry how many lists its group is in
+    whole = W.Window.partitionBy("h")
     entries = every.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("h"), "gkey", "n").repartition("h")
-    index = entries.withColumns({"lo": F.min("gkey").over(whole), "hi": F.max("gkey").over(whole), "first": F.first(F.struct(F.col("gkey").alias("g2"), F.col("n").alias("n2"))).over(whole), "prior": F.lag(F.struct(F.col("gkey").alias("g2"), F.col("n").alias("n2"))).over(w)})
-    index = saved(index.filter("lo < hi").select("h", "gkey", "n", "first", "prior").dropDuplicates(["h", "gkey"]), "index")
+    shared = entries.withColumns({"lo": F.min("gkey").over(whole), "hi": F.max("gkey").over(whole)}).filter("lo < hi")
+    shared = saved(shared.select("h", "gkey", "n").dropDuplicates(["h", "gkey"]), "shared")
+    index = shared.join(shared.groupBy("gkey").agg(F.count("*").cast("int").alias("k")), "gkey")
+    other = F.struct(F.col("gkey").alias("g2"), F.col("n").alias("n2"), F.col("k").alias("k2"))
+    hub = F.max_by(other, F.struct("k", -F.col("n"), "gkey")).over(whole)
+    index = saved(index.withColumns({"hub": hub, "prior": F.lag(other).over(whole.orderBy("n", "gkey"))}), "index")
 
     # first pass
-    met = index.select("gkey", "n", "first.*").union(index.filter("prior IS NOT NULL").select("gkey", "n", "prior.*")).filter("gkey != g2").filter(near)
-    met = met.groupBy("gkey", "n", "g2", "n2").agg(F.count("*").alias("k")).filter(F.col("k") * 2 >= need())
+    enough = (F.col("k") >= need()) & (F.col("k2") >= need())
+    met = index.select("gkey", "n", "k", "hub.*").union(index.filter("prior IS NOT NULL").select("gkey", "n", "k", "prior.*")).filter("gkey != g2").filter(near & enough)
+    met = met.groupBy("gkey", "n", "g2", "n2").agg(F.count("*").alias("met")).filter(F.col("met") * 3 >= need())
     heads = groups.select("gkey", F.col("head").alias("a"))
     first = met.join(heads, "gkey").join(heads.select(F.col("gkey").alias("g2"), F.col("a").alias("b")), "g2").select("a", "b")
     within = members.join(groups, ["gkey", "n"]).filter("cid != head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
@@ -170,13 +181,13 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
     labelled = members.join(star.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gkey", "n", F.coalesce("component", "cid").alias("comp"))
     labelled = saved(labelled, "labelled")
     spans = labelled.groupBy("gkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    left = index.select("h", "gkey", "n").join(spans, "gkey")
+    left = index.select("h", "gkey", "n", "k").join(spans, "gkey")
     mixed_lists = left.groupBy("h").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).filter("x < y").select("h")
     left = saved(left.join(mixed_lists, "h", "left_semi"), "left")
-    other = left.select("h", *[F.col(c).alias(c + "2") for c in ("gkey", "n", "lo", "hi")])
+    other = left.select("h", *[F.col(c).alias(c + "2") for c in ("gkey", "n", "k", "lo", "hi")])
     open_pair = (F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
-    pairs = left.join(other, "h").filter((F.col("gkey") < F.col("gkey2")) & near & open_pair)
-    pairs = pairs.groupBy("gkey", "gkey2", "n", "n2").agg(F.count("*").alias("k")).filter(F.col("k") >= need()).select("gkey", "gkey2")
+    pairs = left.join(other, "h").filter((F.col("gkey") < F.col("gkey2")) & near & enough & open_pair)
+    pairs = pairs.groupBy("gkey", "gkey2", "n", "n2").agg(F.count("*").alias("met")).filter(F.col("met") >= need()).select("gkey", "gkey2")
     pairs = pairs.union(spans.filter("lo < hi").select("gkey", F.col("gkey").alias("gkey2")))
     mine, theirs = labelled.select("gkey", F.col("cid").alias("a"), F.col("comp").alias("ca")), labelled.select(F.col("gkey").alias("gkey2"), F.col("cid").alias("b"), F.col("comp").alias("cb"))
     rest = pairs.join(mine, "gkey").join(theirs, "gkey2").filter("ca != cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -184,7 +195,7 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
 
     final = connected(star.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     known = members.join(final.withColumnRenamed("node", "cid"), "cid", "left").select("gkey", "n", "sig", F.coalesce("component", "cid").alias("component_id"))
-    for x in (index, left, labelled, links, more):
+    for x in (shared, index, left, labelled, links, more):
         dropped(x)
     out = every.select("doc_id", "n", "sig", "gkey").join(known, ["gkey", "n", "sig"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
