@@ -16,8 +16,8 @@ from estimora.sources.dims import ACTIVITIES, AUTOMATION_SETUP, DEFAULT_RISK_SHA
 
 
 def tenth(c: Column) -> Column:
-    """Half to even at one place, once the noise of the last bits is gone."""
-    return F.bround(F.round(c, 6), 1)
+    """Half to even at one place."""
+    return F.bround(c, 1)
 
 
 def classified(projects: DataFrame) -> DataFrame:
@@ -52,19 +52,20 @@ def _activity(k: int, name: str, lo: int, hi: int) -> Column:
     pct = F.lit((lo + hi) / 2) * F.col("scale")
     likely = tenth((F.col("adj_min") + F.col("adj_max")) / 2 * pct / 100)
     low, high = tenth(likely * 0.6), tenth(likely * 1.8)
-    return F.struct(F.lit(k).alias("ord"), F.lit(name).alias("activity"), low.alias("optimistic"), likely.alias("most_likely"), high.alias("pessimistic"), tenth((low + likely * 4 + high) / 6).alias("expected"), tenth((high - low) / 6).alias("sd"), F.bround(F.round(pct, 6), 0).alias("pct"))
+    return F.struct(F.lit(k).alias("ord"), F.lit(name).alias("activity"), low.alias("optimistic"), likely.alias("most_likely"), high.alias("pessimistic"), tenth((low + likely * 4 + high) / 6).alias("expected"), tenth((high - low) / 6).alias("sd"), F.bround(pct, 0).alias("pct"))
 
 
 def with_activities(projects: DataFrame) -> DataFrame:
-    """Three-point estimates of each activity, and their totals; sums of tenths are exact decimals."""
+    """Three-point estimates of each activity, and their totals, summed in order."""
     whole = sum((lo + hi) / 2 for _, _, lo, hi in ACTIVITIES)
     setup = next((lo + hi) / 2 for k, _, lo, hi in ACTIVITIES if k == AUTOMATION_SETUP)
     out = projects.withColumn("scale", F.when(F.col("mult_total") > 0, F.lit(100.0 / whole)).otherwise(100.0 / (whole - setup)))
     found = [F.when(F.col("mult_total") > 0, _activity(*a)) if a[0] == AUTOMATION_SETUP else _activity(*a) for a in ACTIVITIES]
     out = out.withColumn("activities", F.array_compact(F.array(*found)))
-    total = lambda f: F.aggregate("activities", F.lit(0).cast("decimal(28,1)"), lambda a, x: (a + x[f].cast("decimal(18,1)")).cast("decimal(28,1)")).cast("double")
-    out = out.withColumns({"pert_o": total("optimistic"), "pert_m": total("most_likely"), "pert_p": total("pessimistic")})
-    return out.withColumns({"pert_e": tenth((F.col("pert_o") + F.col("pert_m") * 4 + F.col("pert_p")) / 6), "pert_sd": tenth((F.col("pert_p") - F.col("pert_o")) / 6)})
+    total = lambda f: F.aggregate("activities", F.lit(0.0), lambda a, x: a + x[f])
+    out = out.withColumns({"sum_o": total("optimistic"), "sum_m": total("most_likely"), "sum_p": total("pessimistic")})
+    o, m, p = F.col("sum_o"), F.col("sum_m"), F.col("sum_p")
+    return out.withColumns({"pert_o": tenth(o), "pert_m": tenth(m), "pert_p": tenth(p), "pert_e": tenth((o + m * 4 + p) / 6), "pert_sd": tenth((p - o) / 6)}).drop("sum_o", "sum_m", "sum_p")
 
 
 def risk_days(register: Column) -> Column:

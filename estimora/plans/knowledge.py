@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 from estimora.functions.text import html_escaped, otherwise, safe_name, section, shortened, without_front_matter
 from estimora.operators import chunking, embedding, estimate, feedback, generation, prompts, report, retrieval
 from estimora.plans.registry import query
-from estimora.plans.sql import ESTIMATES
+from estimora.plans.sql import ESTIMATES, with_tenths
 from estimora.sources.corpus import CATEGORIES, category_of
 from estimora.sources.projects import projects
 from estimora.sources.tables import table
@@ -107,7 +107,7 @@ def risk_level_counts(spark, sf_dir):
     return _registers(spark, sf_dir).select("doc_id", occurrences(low, "critical").alias("critical"), named("high").alias("high"), named("medium").alias("medium"))
 
 
-@query("risk_buffer", f"{_LEVELS} SELECT doc_id, round_even(round(least(CAST(critical * 5 + high * 3 + medium AS DOUBLE), CAST(doc_id % 90 AS DOUBLE) * 0.35e0), 6), 1) AS buffer FROM n")
+@query("risk_buffer", with_tenths(f"{_LEVELS} SELECT doc_id, tenth(least(CAST(critical * 5 + high * 3 + medium AS DOUBLE), CAST(doc_id % 90 AS DOUBLE) * 0.35e0), 1) AS buffer FROM n"))
 def risk_buffer(spark, sf_dir):
     expected = (F.col("doc_id") % 90).cast("double")
     return _registers(spark, sf_dir).select("doc_id", estimate.risk_buffer(F.col("register"), expected).alias("buffer"))

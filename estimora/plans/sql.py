@@ -64,19 +64,19 @@ def values(rows) -> str:
 
 SHARES = sum((lo + hi) / 2 for _, _, lo, hi in ACTIVITIES)
 SETUP = next((lo + hi) / 2 for k, _, lo, hi in ACTIVITIES if k == AUTOMATION_SETUP)
-#: Both engines round alike once noise of the last bits is gone.
 TENTH = re.compile(r"tenth\(")
 
 
 def with_tenths(sql: str) -> str:
-    """Write tenth(x, 1) out as a rounding to six places and then, half to even, to one."""
-    while (m := TENTH.search(sql)):
+    """Write tenth(x, 1) out: half to even at one place, on the shortest decimal form of x."""
+    exact = "list_transform([CAST(CAST({} AS VARCHAR) AS DECIMAL(28,16))], lambda d: CAST(CASE WHEN abs(d * 10 - trunc(d * 10)) = 0.5 THEN 2 * round(d * 5) ELSE round(d * 10) END AS DOUBLE) / 10)[1]"
+    while m := TENTH.search(sql):
         depth, k = 1, m.end()
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[k], 0)
             k += 1
         inner = sql[m.end() : k - 1].rsplit(",", 1)[0]
-        sql = f"{sql[: m.start()]}round_even(round({inner}, 6), 1){sql[k:]}"
+        sql = sql[: m.start()] + exact.format(inner) + sql[k:]
     return sql
 
 
@@ -98,8 +98,8 @@ shares AS (SELECT p.*, act.*, ((lo + hi) / 2e0) * scale AS pct_mid FROM adj p CR
 likely AS (SELECT *, tenth((adj_min + adj_max) / 2 * pct_mid / 100, 1) AS m FROM shares),
 ends AS (SELECT *, tenth(m * 0.6e0, 1) AS o, tenth(m * 1.8e0, 1) AS p FROM likely),
 pert AS (SELECT *, tenth((o + m * 4 + p) / 6, 1) AS e, tenth((p - o) / 6, 1) AS sd, round_even(round(pct_mid, 6), 0) AS pct FROM ends),
-sums AS (SELECT project_id, CAST(sum(CAST(o AS DECIMAL(18,1))) AS DOUBLE) AS pert_o, CAST(sum(CAST(m AS DECIMAL(18,1))) AS DOUBLE) AS pert_m, CAST(sum(CAST(p AS DECIMAL(18,1))) AS DOUBLE) AS pert_p FROM pert GROUP BY project_id),
-exp AS (SELECT a.*, pert_o, pert_m, pert_p, tenth((pert_o + pert_m * 4 + pert_p) / 6, 1) AS pert_e, tenth((pert_p - pert_o) / 6, 1) AS pert_sd,
+sums AS (SELECT project_id, list_reduce(list(o ORDER BY ord), lambda a, x: a + x) AS so, list_reduce(list(m ORDER BY ord), lambda a, x: a + x) AS sm, list_reduce(list(p ORDER BY ord), lambda a, x: a + x) AS sp FROM pert GROUP BY project_id),
+exp AS (SELECT a.*, tenth(so, 1) AS pert_o, tenth(sm, 1) AS pert_m, tenth(sp, 1) AS pert_p, tenth((so + sm * 4 + sp) / 6, 1) AS pert_e, tenth((sp - so) / 6, 1) AS pert_sd,
   tenth(CAST(qa * days AS DOUBLE) * 0.75e0, 1) AS available FROM adj a JOIN sums USING (project_id)),
 buf AS (SELECT *, tenth(available - pert_e, 1) AS gap, tenth(pert_e * 0.15e0, 1) AS buffer,
   {' + '.join(points(c) for c in ('timeline', 'team_qa_size', 'team_dev_size', 'compliance_requirements', 'existing_automation'))} AS quality FROM exp),
