@@ -210,7 +210,7 @@ def test_trie_counts(spark, docs, odd, none):
     def by_force(word):
         best = [(0.0, 0)]
         for k in range(1, len(word) + 1):
-            found = [(best[j][0] + pieces[word[j:k]], -(-best[j][1] + 1) if False else best[j][1] - 1) for j in range(k) if word[j:k] in pieces]
+            found = [(best[j][0] + pieces[word[j:k]], best[j][1] - 1) for j in range(k) if word[j:k] in pieces]
             if word[k - 1] not in pieces:
                 n = len(word[k - 1].encode())
                 found.append((best[k - 1][0] + n * low, best[k - 1][1] - n))
