@@ -36,6 +36,8 @@ from estimora.llm.shared import dropped, joined_by_id, saved
 #: Shingles that a task counts at once, and how many of the most frequent ones have a level of their
 #: own in the order (9 bytes each). Any order gives the same classes; a good one has short lists.
 COUNTED_AT_ONCE, FREQUENT = 3_000_000, 1_000_000
+#: Words of 64 bits of a group's sketch of its shared prefix shingles: a power of two.
+WORDS = 4
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +164,9 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
     entries = every.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("h"), "gkey", "n").repartition("h")
     shared = entries.withColumns({"lo": F.min("gkey").over(whole), "hi": F.max("gkey").over(whole)}).filter("lo < hi")
     shared = saved(shared.select("h", "gkey", "n").dropDuplicates(["h", "gkey"]), "shared")
-    index = shared.join(shared.groupBy("gkey").agg(F.count("*").cast("int").alias("k")), "gkey")
+    bits = [F.expr(f"bit_or(CASE WHEN (shiftright(h, 6) & {WORDS - 1}) = {j} THEN shiftleft(1L, CAST(h & 63 AS INT)) ELSE 0L END)").alias(f"b{j}") for j in range(WORDS)]
+    sketch = saved(shared.groupBy("gkey").agg(F.count("*").cast("int").alias("k"), *bits), "sketch")
+    index = shared.join(sketch.select("gkey", "k"), "gkey")
     other = F.struct(F.col("gkey").alias("g2"), F.col("n").alias("n2"), F.col("k").alias("k2"))
     hub = F.max_by(other, F.struct("k", -F.col("n"), "gkey")).over(whole)
     index = saved(index.withColumns({"hub": hub, "prior": F.lag(other).over(whole.orderBy("n", "gkey"))}), "index")
@@ -181,12 +185,15 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
     labelled = members.join(star.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gkey", "n", F.coalesce("component", "cid").alias("comp"))
     labelled = saved(labelled, "labelled")
     spans = labelled.groupBy("gkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    left = index.select("h", "gkey", "n", "k").join(spans, "gkey")
+    left = shared.join(sketch, "gkey").join(spans, "gkey")
     mixed_lists = left.groupBy("h").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).filter("x < y").select("h")
     left = saved(left.join(mixed_lists, "h", "left_semi"), "left")
-    other = left.select("h", *[F.col(c).alias(c + "2") for c in ("gkey", "n", "k", "lo", "hi")])
+    other = left.select("h", *[F.col(c).alias(c + "2") for c in ("gkey", "n", "k", "lo", "hi", *(f"b{j}" for j in range(WORDS)))])
     open_pair = (F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
-    pairs = left.join(other, "h").filter((F.col("gkey") < F.col("gkey2")) & near & enough & open_pair)
+    # a bit of one sketch that the other lacks is a shingle, at least, that they don't share
+    lacking = lambda x, y: sum(F.bit_count(F.col(f"b{j}{x}").bitwiseAND(F.bitwise_not(f"b{j}{y}"))) for j in range(WORDS))
+    sharing = (F.col("k") - lacking("", "2") >= need()) & (F.col("k2") - lacking("2", "") >= need())
+    pairs = left.join(other, "h").filter((F.col("gkey") < F.col("gkey2")) & near & enough & sharing & open_pair)
     pairs = pairs.groupBy("gkey", "gkey2", "n", "n2").agg(F.count("*").alias("met")).filter(F.col("met") >= need()).select("gkey", "gkey2")
     pairs = pairs.union(spans.filter("lo < hi").select("gkey", F.col("gkey").alias("gkey2")))
     mine, theirs = labelled.select("gkey", F.col("cid").alias("a"), F.col("comp").alias("ca")), labelled.select(F.col("gkey").alias("gkey2"), F.col("cid").alias("b"), F.col("comp").alias("cb"))
@@ -195,7 +202,7 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
 
     final = connected(star.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     known = members.join(final.withColumnRenamed("node", "cid"), "cid", "left").select("gkey", "n", "sig", F.coalesce("component", "cid").alias("component_id"))
-    for x in (shared, index, left, labelled, links, more):
+    for x in (shared, sketch, index, left, labelled, links, more):
         dropped(x)
     out = every.select("doc_id", "n", "sig", "gkey").join(known, ["gkey", "n", "sig"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
