@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task handles at once; a longer single text is handled whole.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def row_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
@@ -26,6 +26,7 @@ def row_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUN
             to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + limit, "right"))))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker lives on; its next task may do something else
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(20, int(n).bit_length())
     up, down = _powers(size)
     return up[:n], down[:n]
 

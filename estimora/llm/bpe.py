@@ -25,10 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from estimora.llm.arrays import row_chunks
+from estimora.llm.shared import bounded
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries of a worker's cache of encoded pieces; beyond it the cache starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -185,7 +186,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(found), "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, tokenizer: str) -> DataFrame:
@@ -215,5 +216,6 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        codec(tokenizer).known.clear()  # the worker lives on, and what it does next needs the memory
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from estimora.llm.arrays import constants, grams, mixed, row_chunks, text_bytes, words
+from estimora.llm.shared import bounded
 
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, distance long, similarity double"
 #: Words of a seed, embeddings (of independent walks) and places that a round samples.
@@ -231,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.2,
     for a in range(0, max(1, len(rows)), ITEMS_AT_ONCE):
         part = rows[a : a + ITEMS_AT_ONCE]
         shared = spark.sparkContext.broadcast(prepared([i for i, _ in part], [t for _, t in part], max_share, recall))
-        found = docs.select("doc_id", "text").mapInArrow(_searcher(shared), SCHEMA)
+        found = bounded(docs).select("doc_id", "text").mapInArrow(_searcher(shared), SCHEMA)
         out = found if out is None else out.union(found)
     return out
 

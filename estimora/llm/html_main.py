@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estimora.llm.arrays import row_chunks
-from estimora.llm.shared import saved
+from estimora.llm.shared import bounded, saved
 
 #: A node is judged if so many pages of its host have it, and removed below this importance.
 LEAST_PAGES, LEAST_IMPORTANCE = 20, 0.3
@@ -252,7 +252,7 @@ def removed_styles(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages(page_id, url, html)."""
-    pages = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
+    pages = bounded(pages).select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     removed = saved(removed_styles(pages), "styles")
     spark = pages.sparkSession
     known = None

@@ -31,11 +31,11 @@ from pyspark.sql import window as W
 
 from estimora.llm.arrays import constants, grams, mixed, row_chunks, text_bytes, words
 from estimora.llm.components import connected
-from estimora.llm.shared import dropped, joined_by_id, saved
+from estimora.llm.shared import bounded, dropped, joined_by_id, saved
 
 #: Shingles that a task counts at once, and how many of the most frequent ones have a level of their
 #: own in the order (9 bytes each). Any order gives the same classes; a good one has short lists.
-COUNTED_AT_ONCE, FREQUENT = 3_000_000, 1_000_000
+COUNTED_AT_ONCE, FREQUENT = 2_000_000, 1_000_000
 #: Words of 64 bits of a group's sketch of its shared prefix shingles: a power of two.
 WORDS = 4
 
@@ -88,7 +88,7 @@ def frequent(docs: DataFrame, size: int, most: int = FREQUENT) -> tuple[np.ndarr
         if held:
             yield repeated()
 
-    counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = bounded(docs).select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.filter("n >= 8").orderBy(F.desc("n"), "h").limit(most).select("h", F.log2("n").cast("int").alias("level")).toArrow()
     hashes = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
@@ -125,7 +125,7 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     seen.add(key)
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(ns, pa.int32()), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "gkey", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sig long, gkey long, prefix array<long>")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sig long, gkey long, prefix array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -138,7 +138,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
             found = sets(chunk.column("text"), size)
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["doc_id", "x"])
 
-    whole = saved(joined_by_id(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, x array<long>"), "sets")
+    whole = saved(joined_by_id(bounded(docs).select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, x array<long>"), "sets")
     both = pairs.join(whole.withColumnsRenamed({"doc_id": "a", "x": "xa"}), "a").join(whole.withColumnsRenamed({"doc_id": "b", "x": "xb"}), "b")
     shared = F.size(F.array_intersect("xa", "xb"))
     out = saved(both.filter(shared * (num + den) >= (F.size("xa") + F.size("xb")) * num).select("a", "b"), "links")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estimora.llm.arrays import row_chunks, text_bytes
+from estimora.llm.shared import bounded
 
 #: Hashed features, and labelled rows to learn from at most, over all languages.
 FEATURES, SAMPLE_ROWS = 4096, 2000
@@ -140,7 +141,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from docs(doc_id, text, lang): from about `sample_rows` of the labelled rows that
     aren't held out, as many of each language where there are so many. Their hashed features,
     of one size whatever the text, are all that reaches the driver."""
-    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(remainder(), F.lit(0)) != 2))
+    known = bounded(docs).select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(remainder(), F.lit(0)) != 2))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model()
@@ -171,7 +172,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(names, pa.string()), pa.array(np.where(found, score, 0.0))], [*chunk.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -98,15 +98,13 @@ def block_links(least: float):
         rid, weight, home, block = (table.column(c).to_numpy() for c in ("rid", "weight", "home", "block"))
         a, b, dim = (table.column(c)[0].as_py() for c in ("a", "b", "dim"))
         x = unit(matrix(table.column("x").combine_chunks(), dim))
-        linked = np.zeros((len(x), len(x)), bool)
+        linked, total, at_all = np.zeros((len(x), len(x)), bool), np.zeros(len(x), np.int64), np.arange(len(x))
         for at in range(0, len(x), 512):
-            c = x[at : at + 512] @ x.T
-            linked[at : at + 512] = c >= least
-        if a != b:
-            linked &= block[:, None] != block[None]
-        linked &= home[:, None] | home[None]
-        np.fill_diagonal(linked, False)
-        total = linked @ weight
+            rows = slice(at, at + 512)
+            part = (x[rows] @ x.T >= least) & (home[rows, None] | home[None]) & (at_all[rows, None] != at_all)
+            if a != b:
+                part &= block[rows, None] != block
+            linked[rows], total[rows] = part, part @ weight
         head, left = np.full(len(x), -1), linked.any(axis=1)
         for k in np.flatnonzero(left):
             if head[k] < 0:
@@ -116,7 +114,7 @@ def block_links(least: float):
                     head[edge] = k
                     edge = linked[edge].any(axis=0) & (head < 0)
         keep = np.flatnonzero(left)
-        return pa.table({"rid": rid[keep], "links": total[keep].astype(np.int64), "head": rid[head[keep]]})
+        return pa.table({"rid": rid[keep], "links": total[keep], "head": rid[head[keep]]})
 
     return run
 

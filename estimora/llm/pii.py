@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estimora.llm.arrays import row_chunks
+from estimora.llm.shared import bounded
 
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -256,7 +257,7 @@ def written(spans: list[list[tuple[int, int]]]) -> str:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """Potentials from about `sample_docs` of the documents that hold mentions, each with its first
     200 mentions; their features are all that reaches the driver."""
-    some = docs.select("text").filter(F.col("text").rlike("[0-9@]"))
+    some = bounded(docs).select("text").filter(F.col("text").rlike("[0-9@]"))
     total = some.count()
     drawn = some.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, sample_docs / max(total, 1)) * (1 << 20)))
 
@@ -287,7 +288,7 @@ def detect(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
                 more.append(sum(map(len, added)))
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4)), pa.array(digests), pa.array(spans), pa.array(more, pa.int64())], SCHEMA.replace(" long", "").replace(" string", "").split(", "))
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def masked(text: str, field: Field) -> str:
@@ -310,4 +311,4 @@ def redacted(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
             texts = pa.array([t and masked(t, field) for t in chunk.column("text").to_pylist()], pa.string())
             yield chunk.set_column(chunk.schema.get_field_index("text"), "text", texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

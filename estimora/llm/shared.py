@@ -44,6 +44,20 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of texts that go to Python at once, at most: a batch is held several times over on its way.
+ARROW_ROWS = 1000
+
+
+def bounded(texts: DataFrame) -> DataFrame:
+    """The same rows, for a step in Python: the session's batches are cut to ARROW_ROWS rows where
+    they are longer, since its default of 10,000 rows has no bound in bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(texts.sparkSession.conf.get(key))
+    if not 0 < now <= ARROW_ROWS:
+        texts.sparkSession.conf.set(key, str(ARROW_ROWS))
+    return texts
+
+
 def file_system(path: str):
     """The Arrow file system of a folder, and the path in it: local folders, HDFS and object stores alike."""
     from pyarrow import fs

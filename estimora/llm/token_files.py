@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from estimora.llm.arrays import row_chunks
-from estimora.llm.shared import file_system, new_path, saved
+from estimora.llm.shared import bounded, file_system, new_path, saved
 
 MANIFEST = "part int, name string, n_docs long, n_ids long"
-#: Entries of a worker's cache of encoded pieces; beyond it the cache starts anew.
-CACHE_ENTRIES = 500_000
+#: Entries of a worker's cache of encoded pieces; beyond it a new one starts, which takes over from
+#: the one before what is met again.
+CACHE_ENTRIES = 350_000
 
 
 class PieceEncoder:
@@ -51,18 +52,23 @@ class PieceEncoder:
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.later: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.past: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], prefix: str) -> None:
-        new = list(pieces.difference(known))
+    def _learn(self, known: dict[str, bytes], past: dict[str, bytes], pieces: set[str], prefix: str) -> None:
+        new = pieces.difference(known)
+        again = past.keys() & new
+        known.update((p, past[p]) for p in again)
+        new = list(new - again)
         known.update(zip(new, self._whole([prefix + p for p in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for known in (self.later, self.first):
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
+        if len(self.later) > CACHE_ENTRIES:
+            self.later, self.past = {}, self.later
+        if len(self.first) > CACHE_ENTRIES:
+            self.first.clear()
         out: list[bytes] = [b""] * len(texts)
         split, whole = {}, []
         for k, text in enumerate(texts):
@@ -70,9 +76,9 @@ class PieceEncoder:
                 whole.append(k)
             elif text:
                 split[k] = text.split(" ")
-        self._learn(self.first, {p[0] for p in split.values()} - {""}, "")
+        self._learn(self.first, {}, {p[0] for p in split.values()} - {""}, "")
         self.first[""] = b""
-        self._learn(self.later, set().union(*(p[1:] for p in split.values())), " ")
+        self._learn(self.later, self.past, set().union(*(p[1:] for p in split.values())), " ")
         for k, pieces in split.items():
             out[k] = self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
@@ -121,7 +127,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int)
                     index.write(x.tobytes())
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "n_docs": [len(sizes)], "n_ids": [int(offsets[-1])]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    ordered = bounded(docs).select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     manifest = saved(ordered.mapInArrow(write, MANIFEST), "manifest")
     # a row for each file: few, however many documents there are
     before = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from estimora.llm.arrays import row_chunks
+from estimora.llm.shared import bounded
 
 SCHEMA = "doc_id long, n_pretokens long, n_tokens long, score double"
 #: Nodes of a worker's trie; beyond it the trie starts anew.
@@ -117,4 +118,4 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
                 ["doc_id", "n_pretokens", "n_tokens", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estimora.llm.arrays import row_chunks
-from estimora.llm.shared import file_system, new_path, saved
+from estimora.llm.shared import bounded, file_system, new_path, saved
 
 #: Bytes of records that a frame holds before it is closed; a longer record has a frame of its own.
 FRAME_BYTES = 1 << 20
@@ -135,7 +135,7 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
     keyed = pages.select("page_id", F.sha2(payload, 256).alias("digest")).filter(F.octet_length(payload) >= LEAST_BYTES)
     first = keyed.groupBy("digest").agg(F.min("page_id").alias("origin"), F.max("page_id").alias("last"))
     first = saved(first.filter("origin < last").select("digest", "origin"), "origins")
-    dealt = pages.select("page_id", "url", "html").withColumn("digest", F.sha2(payload, 256)).join(first, "digest", "left")
+    dealt = bounded(pages).select("page_id", "url", "html").withColumn("digest", F.sha2(payload, 256)).join(first, "digest", "left")
     dealt = dealt.withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("origin"), F.col("origin").isNotNull()), F.col("origin")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
