@@ -65,7 +65,10 @@ def with_activities(projects: DataFrame) -> DataFrame:
     total = lambda f: F.aggregate("activities", F.lit(0.0), lambda a, x: a + x[f])
     out = out.withColumns({"sum_o": total("optimistic"), "sum_m": total("most_likely"), "sum_p": total("pessimistic")})
     o, m, p = F.col("sum_o"), F.col("sum_m"), F.col("sum_p")
-    return out.withColumns({"pert_o": tenth(o), "pert_m": tenth(m), "pert_p": tenth(p), "pert_e": tenth((o + m * 4 + p) / 6), "pert_sd": tenth((p - o) / 6)}).drop("sum_o", "sum_m", "sum_p")
+    found = {"activities": F.col("activities"), "pert_o": tenth(o), "pert_m": tenth(m), "pert_p": tenth(p), "pert_e": tenth((o + m * 4 + p) / 6), "pert_sd": tenth((p - o) / 6)}
+    kept = [c for c in out.columns if c not in (*found, "sum_o", "sum_m", "sum_p")]
+    # a generator of one row: filters on these columns stay above it, and don't repeat what they are made of
+    return out.select(*kept, F.inline_outer(F.array(F.struct(*(c.alias(k) for k, c in found.items())))))
 
 
 def risk_days(register: Column) -> Column:
