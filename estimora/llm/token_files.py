@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ MANIFEST = "part int, name string, n_docs long, n_ids long"
 #: Entries of a worker's cache of encoded pieces; beyond it a new one starts, which takes over from
 #: the one before what is met again.
 CACHE_ENTRIES = 350_000
+#: New pieces that the library is given as one text.
+PIECES_AT_ONCE = 500
 
 
 class PieceEncoder:
@@ -50,19 +53,38 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        # tokens that begin with a space, which is where a piece begins if no other white space is near
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.opens[[k for t, k in self.tokenizer.get_vocab().items() if t[0] == "Ġ"]] = True
         self.later: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.past: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], past: dict[str, bytes], pieces: set[str], prefix: str) -> None:
+        code = "H" if self.type.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after_space(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each piece with a space before it. Pieces without white space at their ends are
+        encoded many at once and told apart by the tokens that begin with a space."""
+        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
+        alone, found = list(set(pieces).difference(plain)), {}
+        groups = [plain[a : a + PIECES_AT_ONCE] for a in range(0, len(plain), PIECES_AT_ONCE)]
+        for group, raw in zip(groups, self._whole([" " + " ".join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(self.opens[np.frombuffer(raw, self.type)]) * self.type.itemsize
+            if len(at) == len(group):
+                at = [*at.tolist(), len(raw)]
+                found.update((p, raw[a:b]) for p, a, b in zip(group, at, at[1:], strict=False))
+            else:
+                alone += group
+        found.update(zip(alone, self._whole([" " + p for p in alone]), strict=True))
+        return found
+
+    def _learn(self, known: dict[str, bytes], past: dict[str, bytes], pieces: set[str]) -> None:
         new = pieces.difference(known)
         again = past.keys() & new
         known.update((p, past[p]) for p in again)
-        new = list(new - again)
-        known.update(zip(new, self._whole([prefix + p for p in new]), strict=True))
+        known.update(self._after_space(list(new - again)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.later) > CACHE_ENTRIES:
@@ -76,9 +98,9 @@ class PieceEncoder:
                 whole.append(k)
             elif text:
                 split[k] = text.split(" ")
-        self._learn(self.first, {}, {p[0] for p in split.values()} - {""}, "")
-        self.first[""] = b""
-        self._learn(self.later, self.past, set().union(*(p[1:] for p in split.values())), " ")
+        new = list({p[0] for p in split.values()}.difference(self.first))
+        self.first.update(zip(new, self._whole(new), strict=True))
+        self._learn(self.later, self.past, set().union(*(p[1:] for p in split.values())))
         for k, pieces in split.items():
             out[k] = self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):

@@ -58,7 +58,8 @@ def test_bpe_is_the_library(spark, docs, odd, none):
 def test_encoders_on_any_text(text):
     codec, pieces = bpe.codec(WORDS), token_files.encoder(BYTES)
     assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids if len(text) > 25 else True
-    assert np.frombuffer(pieces.encode([text])[0], pieces.type).tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids
+    several = [text, f"q{text} {text}", f"{text} \t", f"r {text}s"]
+    assert [np.frombuffer(b, pieces.type).tolist() for b in pieces.encode(several)] == [pieces.tokenizer.encode(t, add_special_tokens=False).ids for t in several]
 
 
 def test_token_files(spark, docs, odd, none):
