@@ -19,6 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,22 +70,24 @@ def features(texts: pa.Array) -> np.ndarray:
     return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
 
 
-def machine(x: np.ndarray, positive: np.ndarray, cost: float = 4.0, rounds: int = 12) -> np.ndarray:
-    """Weights, the bias last, of a linear support vector machine with squared hinge loss, by
-    coordinate descent on its dual; both classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+def machine(x: np.ndarray, rows: np.ndarray, positive: np.ndarray, cost: float = 4.0, rounds: int = 12) -> np.ndarray:
+    """Weights, the bias last, of a linear support vector machine with squared hinge loss on some
+    rows of x, by coordinate descent on its dual; both classes weigh alike. Rows are widened one at
+    a time, so that x, the largest thing that the driver holds, is held once."""
     y = np.where(positive, 1.0, -1.0)
     share = np.where(positive, positive.mean(), 1 - positive.mean())
     slack = share / cost
-    alpha, w, order = np.zeros(len(x)), np.zeros(x.shape[1]), np.random.default_rng(7)
-    norms = (x * x).sum(1) + slack
+    alpha, w, bias, order = np.zeros(len(rows)), np.zeros(x.shape[1]), 0.0, np.random.default_rng(7)
+    norms = np.array([np.dot(x[k], x[k]) for k in rows], np.float64) + 1 + slack
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            step = max(-alpha[i], -(y[i] * (x[i] @ w) - 1 + slack[i] * alpha[i]) / norms[i])
+        for i in order.permutation(len(rows)):
+            v = x[rows[i]].astype(np.float64)
+            step = max(-alpha[i], -(y[i] * (v @ w + bias) - 1 + slack[i] * alpha[i]) / norms[i])
             if step:
                 alpha[i] += step
-                w += step * y[i] * x[i]
-    return w
+                w += step * y[i] * v
+                bias += step * y[i]
+    return np.append(w, bias)
 
 
 @dataclass
@@ -97,17 +100,18 @@ class Model:
     pairs: list[tuple[int, int]] = field(default_factory=list)
 
 
-def learned(x: np.ndarray, labels: list[str]) -> Model:
-    """Machines for the families, and for each pair of languages of one family."""
+def learned(x: np.ndarray, order: list[int], labels: list[str]) -> Model:
+    """Machines for the families, and for each pair of languages of one family; order: the row of x
+    of each label."""
     y = np.array(labels, dtype=object)
     langs = sorted(set(labels))
     groups = sorted({family(k) for k in langs})
-    of = np.array([family(k) for k in labels], dtype=object)
-    columns = [machine(x, of == g) for g in groups] if len(groups) > 1 else []
+    of, every = np.array([family(k) for k in labels], dtype=object), np.array(order)
+    columns = [machine(x, every, of == g) for g in groups] if len(groups) > 1 else []
     pairs = [(a, b) for a, b in combinations(range(len(langs)), 2) if family(langs[a]) == family(langs[b])]
     for a, b in pairs:
-        use = (y == langs[a]) | (y == langs[b])
-        columns.append(machine(x[use], y[use] == langs[a]))
+        use = np.flatnonzero((y == langs[a]) | (y == langs[b]))
+        columns.append(machine(x, every[use], y[use] == langs[a]))
     return Model(langs, groups, np.array(columns, np.float32).reshape(len(columns), x.shape[1] + 1).T, pairs)
 
 
@@ -154,10 +158,14 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             x = features(chunk.column("text"))
             yield pa.RecordBatch.from_pydict({"lang": chunk.column("lang"), "x": pa.array([v.tobytes() for v in x], pa.binary())})
 
-    rows = sorted((r["lang"], bytes(r["x"])) for r in known.filter(drawn).select("text", "lang").mapInArrow(vectors, "lang string, x binary").collect())
-    if not rows:
+    found = known.filter(drawn).select("text", "lang").mapInArrow(vectors, "lang string, x binary").toArrow().combine_chunks()
+    if not found.num_rows:
         return Model()
-    return learned(np.array([np.frombuffer(b, np.float32) for _, b in rows]), [lang for lang, _ in rows])
+    data, _ = text_bytes(found.column("x").chunk(0))
+    x, langs = data.view(np.float32).reshape(-1, FEATURES), found.column("lang").to_pylist()
+    # an order that doesn't depend on how the rows were dealt; among equal rows it makes no difference
+    order = sorted(range(len(langs)), key=lambda k: (langs[k], xxhash.xxh64_intdigest(x[k].tobytes())))
+    return learned(x, order, [langs[k] for k in order])
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
