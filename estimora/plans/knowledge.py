@@ -64,7 +64,7 @@ def vector_topk_batch(spark, sf_dir):
 
 @query("retrieved_sources", f"""WITH hits AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS rank
   FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) WHERE rank <= 5)
-  SELECT query_id, string_agg(concat('[Source ', CAST(rank AS VARCHAR), ' — ', d.lang, ': ', d.source, ']', chr(10), d.text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank) AS context,
+  SELECT query_id, string_agg(concat('[Source ', CAST(r AS VARCHAR), ' — ', d.lang, ': ', d.source, ']', chr(10), d.text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank) AS context,
   array_to_string(list_sort(list_distinct(list(concat('[', d.lang, '] ', d.source)))), ', ') AS sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM hits JOIN documents d ON d.doc_id = hits.vec_id) d GROUP BY 1""")
 def retrieved_sources(spark, sf_dir):
     """The context of each query: the documents whose ids the nearest vectors have."""
