@@ -87,14 +87,14 @@ def _count(level):
     return f"(length(low) - length(replace(low, '{level}', ''))) // {len(level)}"
 
 
-#: A register is derived from each document: its first 200 characters after a line of levels.
+#: A register is derived from each document: its text after a line of levels. This SQL still cuts the text to 200 characters.
 _REGISTER = "concat('| R01 | risk | ', (['High', 'Medium', 'Critical', 'Low'])[CAST(doc_id % 4 + 1 AS INTEGER)], ' | Medium | Risk Level: High |', chr(10), substring(text, 1, 200))"
 _LEVELS = f"WITH r AS (SELECT doc_id, lower({_REGISTER}) AS low FROM documents), n AS (SELECT doc_id, {_count('critical')} AS critical, {_count('| high')} + {_count('risk level: high')} AS high, {_count('| medium')} + {_count('risk level: medium')} AS medium FROM r)"
 
 
 def _registers(spark, sf_dir):
     level = F.element_at(F.array(*map(F.lit, ("High", "Medium", "Critical", "Low"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    text = F.concat(F.lit("| R01 | risk | "), level, F.lit(" | Medium | Risk Level: High |\n"), F.substring("text", 1, 200))
+    text = F.concat(F.lit("| R01 | risk | "), level, F.lit(" | Medium | Risk Level: High |\n"), "text")
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("register"))
 
 
@@ -154,7 +154,7 @@ def safe_filename(spark, sf_dir):
 
 @query("safe_source", r"SELECT doc_id, regexp_replace(replace(substring(text, 1, 60), ' ', '_'), '[^\p{L}\p{N}_\-.]', '_', 'g') AS name FROM documents")
 def safe_source(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", safe_name(F.substring("text", 1, 60)).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", safe_name(F.col("text")).alias("name"))
 
 
 @query("context_truncate", "SELECT doc_id, CASE WHEN length(text) > 2000 THEN concat(substring(text, 1, 2000), '...') ELSE text END AS register, CASE WHEN length(text) > 80 THEN concat(substring(text, 1, 80), '...') ELSE text END AS shown FROM documents")
