@@ -82,9 +82,9 @@ def attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def no_article(name: str, found: dict[str, str], inside: bool) -> bool:
-    """Whether an element is no part of an article; inside: it is in one."""
-    if name in DROPPED or name == "header" and not inside or name == "article" and inside:
+def no_article(name: str, found: dict[str, str], above: set[str]) -> bool:
+    """Whether an element is no part of an article; above: names of the elements it is in."""
+    if name in DROPPED or name == "header" and not above & {"article", "main"} or name == "article" and "article" in above:
         return True
     if not found:
         return False
@@ -159,8 +159,7 @@ def page_of(source: str) -> Page:
             continue
         found = attributes(m[3]) if m[3].strip(" /") else {}
         node = stack[-1][1]
-        inside = any(x in ("article", "main") for x, _ in stack)
-        bad = no_article(name, found, inside)
+        bad = no_article(name, found, {x for x, _ in stack})
         if name in BLOCKS:
             style = ".".join([name, *sorted(found.get("class", "").split())])
             page.nodes[node].below.append(style)
@@ -199,11 +198,29 @@ def style_rows(page: Page) -> list[tuple[int, int, int]]:
     return [(p, content[p].intdigest() - (1 << 63) if p in content else 0, shape[p].intdigest() - (1 << 63)) for p in shape]
 
 
+def root_name(page: Page) -> str | None:
+    """article or main, whichever holds the text; main where it has more text beside its articles than in them."""
+    names = [n.name for n in page.nodes]
+    bad: list[bool] = []
+    for node in page.nodes:
+        bad.append(node.dropped or node.parent >= 0 and bad[node.parent])
+    known = {names[k] for k in range(len(names)) if not bad[k]}
+    if "article" not in known or "main" not in known:
+        return next((r for r in ("article", "main") if r in known), None)
+    within = beside = 0
+    for node, text in page.blocks:
+        if not bad[node]:
+            above = {names[k] for k in page.line(node)}
+            within += len(text) * ("article" in above)
+            beside += len(text) * ("main" in above and "article" not in above)
+    return "main" if beside > within else "article"
+
+
 def main_text(page: Page, removed: frozenset | set) -> str:
     """The blocks of the article that are in no removed or dropped branch."""
     paths = styles(page) if removed else []
     names = [n.name for n in page.nodes]
-    root = next((r for r in ("article", "main") if any(x == r and not page.nodes[k].dropped for k, x in enumerate(names))), None)
+    root = root_name(page)
     core = {k for k, p in enumerate(paths) if p in removed}
     kept = []
     for node, text in page.blocks:
