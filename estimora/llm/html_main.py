@@ -41,9 +41,10 @@ RAW = frozenset("script style title textarea xmp iframe noembed noframes noscrip
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = frozenset("table ul ol dl select".split())
-# Elements, roles and words of classes and ids that are no part of an article.
+# Elements, roles and words of classes and ids that are no part of an article; elements that are never judged.
 DROPPED = frozenset("aside button canvas datalist dialog footer form head iframe input menu nav noembed noframes noscript object option script search select style svg template textarea title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+KEPT = frozenset(("", "html", "body", "main", "article"))
 WORDS = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion promoted recommended related reply replies share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -186,14 +187,16 @@ def styles(page: Page) -> list[int]:
 
 
 def style_rows(page: Page) -> list[tuple[int, int, int]]:
-    """(path, content, presentation) of each path of a page."""
+    """(path, content, presentation) of each path of a page that can be removed."""
     paths = styles(page)
     content: dict[int, xxhash.xxh64] = {}
     shape: dict[int, xxhash.xxh64] = {}
     for node, p in zip(page.nodes, paths, strict=True):
+        if node.name in KEPT:
+            continue
         shape.setdefault(p, xxhash.xxh64()).update("|".join([*node.below, "\n"]))
     for node, text in page.blocks:
-        for p in dict.fromkeys(paths[k] for k in page.line(node)):
+        for p in dict.fromkeys(paths[k] for k in page.line(node) if page.nodes[k].name not in KEPT):
             content.setdefault(p, xxhash.xxh64()).update(text + "\n")
     return [(p, content[p].intdigest() - (1 << 63) if p in content else 0, shape[p].intdigest() - (1 << 63)) for p in shape]
 
@@ -244,21 +247,23 @@ def host_of(url):
 
 
 def removed_styles(pages: DataFrame) -> DataFrame:
-    """host and path of the nodes of low importance: normalised entropies over the host's pages that
-    have the node, of its content for the most part and of its presentation."""
+    """host and path of the nodes of low importance: normalised entropies over the host's distinct
+    pages that have the node, of its content for the most part and of its presentation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in row_chunks(batches, "html"):
             hosts, rows = [], []
             for host, source in zip(chunk.column("host").to_pylist(), chunk.column("html").to_pylist(), strict=True):
-                some = style_rows(page_of(source or ""))
+                page = xxhash.xxh64_intdigest(source or "") - (1 << 63)
+                some = [(page, *row) for row in style_rows(page_of(source or ""))]
                 rows += some
                 hosts += [host] * len(some)
-            x = np.array(rows, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x[:, k]) for k in range(3))], ["host", "path", "content", "shape"])
+            x = np.array(rows, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x[:, k]) for k in range(4))], ["host", "page", "path", "content", "shape"])
 
-    nodes = pages.filter("host != ''").select("host", "html").mapInArrow(run, "host string, path long, content long, shape long")
-    kinds = nodes.selectExpr("host", "path", "stack(2, 0, content, 1, shape) AS (kind, v)")
+    nodes = pages.filter("host != ''").select("host", "html").mapInArrow(run, "host string, page long, path long, content long, shape long")
+    # copies of a page count once
+    kinds = nodes.distinct().selectExpr("host", "path", "stack(2, 0, content, 1, shape) AS (kind, v)")
     counts = kinds.groupBy("host", "path", "kind", "v").agg(F.count("*").alias("c"))
     sums = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)

@@ -18,3 +18,19 @@ def test_article_in_main():
     assert text("<main><article><p>One</p></article><article><p>Two</p></article></main>") == "One\n\nTwo"
     assert text("<main><header><h1>T</h1></header><p>Story</p><section class=comments><article>me too</article></section></main>") == "T\n\nStory"
     assert text("<main><p>A long story of its own</p><article>teaser</article></main>") == "A long story of its own\n\nteaser"
+
+
+def test_copies_of_pages_count_once(spark):
+    """Pages without an article keep their texts, however often each is there; what repeats over them goes."""
+    page = lambda k: f'<body><div class="x1">Buy now</div><div class="x2"><p>Text {k} of its own</p><ul><li>Item {k}</ul></div></body>'
+    own = lambda k: f"Text {k} of its own\n\nItem {k}"
+    copies = [0] * 60 + list(range(1, 30))
+    assert texts(spark, [page(k) for k in copies]) == [own(k) for k in copies]
+    assert texts(spark, [page(0)] * 25) == ["Buy now\n\n" + own(0)] * 25
+    assert all(t.endswith(own(k % 5)) for k, t in enumerate(texts(spark, [page(k % 5) for k in range(200)])))
+
+
+def test_body_is_not_judged(spark):
+    """Bodies that are alike but for what they are called stay."""
+    pages = [f"<html><head><title>{k}</title></head><body>Same words</body></html>" for k in range(30)]
+    assert texts(spark, pages) == ["Same words"] * 30
