@@ -24,14 +24,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from estimora.llm.arrays import row_chunks
 from estimora.llm.shared import bounded, saved
 
-#: A node is judged if so many pages of its host have it, and removed below this importance.
-LEAST_PAGES, LEAST_IMPORTANCE = 20, 0.3
+#: Nodes are removed below this importance, to which they get DOUBT / pages for the pages that have
+#: them: on two pages nothing is certain, on three what is equal on all. A node on fewer than
+#: MANY_PAGES must be on half of the host's pages: a few may be versions of one article.
+LEAST_IMPORTANCE, DOUBT, MANY_PAGES = 0.3, 0.6, 20
 #: Rows of removed nodes that are sent to all executors at most; more are joined by host.
 BROADCAST_ROWS = 100_000
 
@@ -186,6 +188,10 @@ def styles(page: Page) -> list[int]:
     return [xxhash.xxh64_intdigest(p) - (1 << 63) for p in paths]
 
 
+#: The path of the root, which counts a host's pages.
+ROOT = xxhash.xxh64_intdigest("") - (1 << 63)
+
+
 def style_rows(page: Page) -> list[tuple[int, int, int]]:
     """(path, content, presentation) of each path of a page that can be removed."""
     paths = styles(page)
@@ -255,7 +261,7 @@ def removed_styles(pages: DataFrame) -> DataFrame:
             hosts, rows = [], []
             for host, source in zip(chunk.column("host").to_pylist(), chunk.column("html").to_pylist(), strict=True):
                 page = xxhash.xxh64_intdigest(source or "") - (1 << 63)
-                some = [(page, *row) for row in style_rows(page_of(source or ""))]
+                some = [(page, ROOT, 0, 0), *((page, *row) for row in style_rows(page_of(source or "")))]
                 rows += some
                 hosts += [host] * len(some)
             x = np.array(rows, np.int64).reshape(-1, 4)
@@ -269,7 +275,10 @@ def removed_styles(pages: DataFrame) -> DataFrame:
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
     weight = F.when(F.col("kind") == 0, 0.7).otherwise(0.3)
     judged = sums.groupBy("host", "path").agg(F.max("m").alias("m"), F.sum(entropy * weight).alias("importance"))
-    return judged.filter((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path")
+    root, m = F.col("path") == ROOT, F.col("m")
+    few = judged.filter(root | (F.col("importance") + DOUBT / m < LEAST_IMPORTANCE))
+    few = few.withColumn("pages", F.max(F.when(root, m)).over(Window.partitionBy("host")))
+    return few.filter(~root & ((m >= MANY_PAGES) | (m * 2 >= F.col("pages")))).select("host", "path")
 
 
 def extracted(pages: DataFrame) -> DataFrame:

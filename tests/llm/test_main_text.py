@@ -34,3 +34,16 @@ def test_body_is_not_judged(spark):
     """Bodies that are alike but for what they are called stay."""
     pages = [f"<html><head><title>{k}</title></head><body>Same words</body></html>" for k in range(30)]
     assert texts(spark, pages) == ["Same words"] * 30
+
+
+def test_hosts_of_few_pages(spark):
+    """What repeats on all pages goes from three distinct pages on, as on hosts of many; versions of one article stay."""
+    page = lambda k: f'<body><div class="x1">Buy now at our shop</div><article><p>Text {k}</p><div class="q">Same</div><ul><li>Item {k}</ul></article></body>'
+    plain = lambda k: page(k).replace("article", "div")
+    for n in (3, 8, 19, 20, 21):
+        assert texts(spark, [page(k) for k in range(n)]) == [f"Text {k}\n\nItem {k}" for k in range(n)]
+    assert texts(spark, [plain(k) for k in range(4)]) == [f"Text {k}\n\nItem {k}" for k in range(4)]
+    assert texts(spark, [page(k) for k in range(2)]) == [f"Text {k}\n\nSame\n\nItem {k}" for k in range(2)]
+    versions = [f'<article><p>Text {k}</p><table class="t{max(k, 2)}"><td>Cell {max(k, 2)}</table></article><!-- {k} -->' for k in range(9)]
+    versions[:3] = [f'<article><p>Text {k}</p><table class="t2"><td>Cell 2</table></article>' for k in range(3)]
+    assert texts(spark, versions)[:3] == [f"Text {k}\n\nCell 2" for k in range(3)]
