@@ -186,8 +186,8 @@ def windows_of(items: Items, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray
     row = rows[seed]
     first = np.searchsorted(rows, row)
     start = np.maximum(start, first)
-    out = np.unique(np.stack([length, start], axis=1), axis=0)
-    return out
+    own = start < np.searchsorted(rows, row, "right")  # others would begin in the next row
+    return np.unique(np.stack([length[own], start[own]], axis=1), axis=0)
 
 
 def found_in(items: Items, hashes: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int]]:
