@@ -1,6 +1,8 @@
 """Operators on documents against brute force, on small tables with every odd case."""
 
+import functools
 import hashlib
+import math
 import re
 import zlib
 
@@ -206,23 +208,37 @@ def test_edit_distance(a, b):
 
 def test_trie_counts(spark, docs, odd, none):
     pieces = trie_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    low = min(pieces.values())
+    low, longest = min(pieces.values()), max(map(len, pieces))
 
+    @functools.cache
     def by_force(word):
         best = [(0.0, 0)]
         for k in range(1, len(word) + 1):
-            found = [(best[j][0] + pieces[word[j:k]], best[j][1] - 1) for j in range(k) if word[j:k] in pieces]
+            found = [(best[j][0] + pieces[word[j:k]], best[j][1] - 1) for j in range(max(0, k - longest), k) if word[j:k] in pieces]
             if word[k - 1] not in pieces:
                 n = len(word[k - 1].encode())
                 found.append((best[k - 1][0] + n * low, best[k - 1][1] - n))
             best.append(max(found))
-        return -best[-1][1]
+        return best[-1][0], -best[-1][1]
 
-    for table in (docs.limit(40), odd):
+    long_words = spark.createDataFrame([(1, "a" * 46 + " " + "a" * 47 + " " + "ab" * 24 + " " + "日" * 60 + "\U0001f600 \ud7a3\x00z")], "doc_id long, text string")
+    for table in (docs, odd, long_words):
         texts = {r["doc_id"]: r["text"] for r in table.collect()}
-        for r in trie_counts.token_counts(table, public_tokenizers.path("piece_bpe_32k.model")).collect():
-            words = (texts[r["doc_id"]] or "").split()
-            assert r["n_pretokens"] == len(words)
-            if len(words) < 3000 and all(len(w) < 500 for w in words):
-                assert r["n_tokens"] == sum(by_force("▁" + w) for w in words)
+        found = trie_counts.token_counts(table, public_tokenizers.path("piece_bpe_32k.model")).collect()
+        assert len(found) == table.count()
+        for r in found:
+            words = [by_force("▁" + w) for w in (texts[r["doc_id"]] or "").split()]
+            assert (r["n_pretokens"], r["n_tokens"]) == (len(words), sum(n for _, n in words))
+            assert r["score"] == pytest.approx(math.fsum(s for s, _ in words), rel=1e-12)
     assert trie_counts.token_counts(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_trie_counts_anew():
+    """What is stored doesn't change what is counted."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    counter = trie_counts.counter(model)
+    words = {f"word{k}er" for k in range(300)} | {"the", "them", "themes", "é"}
+    counter.clear()
+    counter.store(words)
+    assert len(counter.known) == len(words)
+    assert all((counter.counts[k], counter.scores[k]) == counter.along("▁" + w) for w, k in counter.known.items())
