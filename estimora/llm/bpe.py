@@ -6,9 +6,12 @@ ascending order, each merge is applied at all positions of its pair, and the lis
 that this makes are extended. A merge can only make pairs of the same word, so that each word
 sees its merges lowest rank first, as one by one.
 
+Letters and digits are what the library takes for them: of the characters that its tables may
+not know yet each is tried once, and texts with such characters are normalised by the library.
+
 Defined results: null and empty texts have no ids and decode to the empty text; the strings of
-special tokens become their ids; repeated rows are kept; an empty table gives no rows. Other
-columns are ignored.
+special tokens become their ids; repeated rows are kept; a very long text is encoded whole; an
+empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -109,6 +113,26 @@ class PairIndex:
         return [[s for s in symbols[a:b] if s >= 0] for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 
+def ranges(codes: list[int]) -> str:
+    """Code points in ascending order as ranges of a pattern's set."""
+    found: list[list[int]] = []
+    for c in codes:
+        if found and found[-1][1] == c - 1:
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
+
+
+def latin(text: str) -> bool:
+    """Whether all characters are among the first 256, which all Unicode versions know."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Bpe:
     """Encoder and decoder of a word-end vocabulary file."""
 
@@ -125,14 +149,36 @@ class Bpe:
         self.names = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
         for name, k in [*self.vocab.items(), *self.special.items()]:
             self.names[k] = name
-        self.words = regex.compile(self.PATTERN)
+        self._classes(path)
         self.blank = regex.compile(r"\s+")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
 
+    def _classes(self, path: str) -> None:
+        """Patterns of words: the file's own, and one for pieces with characters of Unicode versions
+        later than that of unicodedata, each of which the library is asked about."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalized = library.normalizer.normalize_str
+        parts = library.pre_tokenizer.pre_tokenize_str
+        every = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(128, 0xD800), *range(0xE000, sys.maxunicode + 1)])))
+        kinds: dict[str, list[int]] = {"letter": [], "other": [], "digit": []}
+        for c in every:
+            if unicodedata.category(c) == "Cn":
+                kinds["letter" if len(parts(f"a{c}")) == 1 else "other" if len(parts(f"!{c}")) == 1 else "digit"].append(ord(c))
+        letter, other, digit = map(ranges, kinds.values())
+        later = "".join((letter, other, digit))
+        self.words = regex.compile(self.PATTERN)
+        self.later = regex.compile(f"[{later}]" if later else r"(?!)")
+        own = self.PATTERN.replace(r"[\p{L}]", rf"[[\p{{L}}--[\x00{later}]]||[{letter or 'a'}]]").replace(r"[\p{N}]", rf"[[\p{{N}}--[\x00{later}]]||[{digit or '0'}]]")
+        self.later_words = regex.compile(own.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{other or '!'}]]"), regex.V1)
+
     def _pieces(self, text: str) -> list[str]:
         """Parts between white space, in composed form and lower case."""
         if not text.isascii():
+            if not latin(text) and self.later.search(text):
+                return [p for p in self.normalized(text).split(" ") if p]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split alone
@@ -141,7 +187,7 @@ class Bpe:
 
     def _learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
-        found = [self.words.findall(p) for p in new]
+        found = [(self.words if latin(p) or not self.later.search(p) else self.later_words).findall(p) for p in new]
         distinct = list(dict.fromkeys(w for ws in found for w in ws))
         ids = dict(zip(distinct, self.pairs.encode(distinct), strict=True))
         for p, ws in zip(new, found, strict=True):
