@@ -4,9 +4,11 @@ A text's features are hashed two- and three-byte grams of its lower-cased letter
 support vector machines first choose the language family (one against the rest), then each pair
 of languages within that family is separated by a machine of its own and the votes decide.
 
-Defined results: a null text or one without a letter is `und` with score 0; without labelled rows
-every text is `und`; with a single language nothing needs deciding and the score is 1; repeated
-rows are predicted alike. Columns beyond doc_id, text and lang never enter a prediction.
+Defined results: a null text or one without a letter (of Unicode's category L) is `und` with
+score 0; without labelled rows every text is `und`; with a single language nothing needs deciding
+and the score is 1; of equal votes the language that sorts first wins; repeated rows are predicted
+alike, texts of any length whole; an empty table gives no rows. Columns beyond doc_id, text and
+lang never enter a prediction.
 """
 
 from __future__ import annotations
@@ -40,7 +42,6 @@ FAMILIES = {
     "uralic": "et fi hu",
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
@@ -174,7 +175,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in row_chunks(batches, "text", rows=500):
-            found = [bool(t and _LETTER.search(t)) and bool(model.langs) for t in chunk.column("text").to_pylist()]
+            found = [bool(model.langs) and any(map(str.isalpha, t or "")) for t in chunk.column("text").to_pylist()]
             lang, score = decided(model, features(chunk.column("text"))) if model.langs else (np.zeros(chunk.num_rows, int), np.zeros(chunk.num_rows))
             names = [model.langs[k] if ok else "und" for k, ok in zip(lang, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(names, pa.string()), pa.array(np.where(found, score, 0.0))], [*chunk.schema.names, "lang_pred", "score"])

@@ -61,7 +61,7 @@ def library(path):
 
 
 def test_bpe_on_every_character():
-    """After a letter, a digit and a sign; of ideographs, syllables and planes without characters each 16th and those of later Unicode versions."""
+    """After a letter, a digit and a sign; of ideographs, syllables and planes without scripts each 16th."""
     codec = bpe.codec(WORDS)
     every = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if not ord(c) % 16 or ord(c) < 0x3400 or "\ua000" <= c < "\uac00" or "\uf900" <= c < "\U00013000" or "\U00016000" <= c < "\U00017000" or "\U0001b000" <= c < "\U00020000"]
     for a in range(0, len(every), 5000):
@@ -143,6 +143,9 @@ def test_language(spark, docs, odd, none):
     found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd).collect()}
     assert [found[k] for k in range(4)] == ["und"] * 4 and found[4] == "en"
     assert langid.identify(none).count() == 0
+    signs = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ _ 7"), (3, "ª"), (4, "١٢"), (5, "日")], "doc_id long, text string")
+    model = langid.fit(odd)
+    assert {r["doc_id"]: r["lang_pred"] != "und" for r in langid.predicted(signs, model).collect()} == {1: False, 2: False, 3: True, 4: False, 5: True}
     assert {r["lang_pred"] for r in langid.identify(docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
 
 
