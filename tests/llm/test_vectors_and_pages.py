@@ -71,6 +71,50 @@ def test_warc(spark):
     assert {r["record_type"] for r in warc.archived(spark.createDataFrame([(None, None, "n" * 200), (None, None, "n" * 200)], "page_id long, url string, html string")).collect()} == {"response"}
 
 
+def records_of(data):
+    """A reader of WARC 1.1 of its own: fields and block of each record, by the grammar of the standard."""
+    found, at = [], 0
+    while at < len(data):
+        assert data.startswith(b"WARC/1.1\r\n", at)
+        end = data.index(b"\r\n\r\n", at)
+        fields = {}
+        for line in data[at + 10 : end].split(b"\r\n"):
+            m = re.fullmatch(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*)", line)
+            fields[m[1].decode().lower()] = m[2].decode()
+        size = int(fields["content-length"])
+        found.append((fields, data[end + 4 : end + 4 + size]))
+        assert data[end + 4 + size : end + 8 + size] == b"\r\n\r\n"
+        at = end + 8 + size
+    return found
+
+
+def test_records_are_valid(spark, tmp_path):
+    """Mandatory fields, unique ids, digests and references, read record by record from the plain bundles."""
+    import zstandard
+
+    rows = [*PAGES, PAGES[0], PAGES[1], (None, "http://n/", "n" * 200), (None, "http://n/", "n" * 200)]
+    index = warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path)).collect()
+    every = []
+    for name in {r["name"] for r in index}:
+        with open(tmp_path / name, "rb") as f:
+            every += records_of(zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read())
+    assert len(every) == len(rows) and len({f["warc-record-id"] for f, _ in every}) == len(rows)
+    assert {f["warc-record-id"] for f, _ in every} == {r["record_id"] for r in index}
+    by_id = {f["warc-record-id"]: f for f, _ in every}
+    for f, block in every:
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", f["warc-record-id"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["warc-date"])
+        assert f["warc-type"] in ("response", "revisit") and re.fullmatch(r"[!-~]+", f["warc-target-uri"]) and f["content-type"] == "application/http; msgtype=response"
+        head, _, payload = block.partition(b"\r\n\r\n")
+        assert head.startswith(b"HTTP/1.1 200 OK\r\n") and f["warc-block-digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+        if f["warc-type"] == "response":
+            assert f["warc-payload-digest"] == "sha256:" + hashlib.sha256(payload).hexdigest() and int(head.split(b"Content-Length: ")[1]) == len(payload)
+        else:
+            assert f["warc-profile"] == warc.PROFILE and not payload
+            if "warc-refers-to" in f:
+                assert by_id[f["warc-refers-to"]]["x-page-id"] == f["x-refers-to-page-id"] and by_id[f["warc-refers-to"]]["warc-payload-digest"] == f["warc-payload-digest"]
+    assert sum("warc-refers-to" in f for f, _ in every) == 1 and sum(f["warc-type"] == "revisit" for f, _ in every) == 4
+
+
 def test_seek_table(tmp_path):
     """The bundle is a plain Zstandard file for any other reader, too."""
     import pyarrow.fs as fs
