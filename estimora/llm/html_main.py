@@ -1,25 +1,32 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree of styles: a node is the path of block elements and
-their classes. Over the pages that have a node, the entropy of what it holds (content) and of the
-elements it has below (presentation) says how important it is: menus, notices and footers repeat
-from page to page, articles don't. Branches of low importance are removed from each page, along
-with those that their element, class or role marks as no part of an article.
+their classes. Over the distinct pages that have a node, the entropy of what it holds (content)
+and of the elements it has below (presentation) says how important it is: menus, notices and
+footers repeat from page to page, articles don't. Branches of low importance are removed from
+each page, along with those that their element, class or role marks as no part of an article.
+Class names are evidence only: whole names of telling words count, and no branch that holds most
+of an article's text goes by its name. Nor does the tree remove most of an article, which then is
+one that other pages have, too, or all that a page has.
 
 The text is what is left of the page's article (or main element, or else its body): block by
 block, white space as one blank, blocks joined by an empty line.
 
 Defined results: null and empty pages have an empty text; a null url has no host, whose pages
-aren't merged; repeated rows have equal texts; an empty table gives no rows. Other columns are
-ignored.
+aren't merged; repeated rows have equal texts and count once; a node that two pages have is never
+judged; an article within an article is a comment, unless the outer one has no text beside it;
+time and memory follow a page's length, however deep it is nested; an empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from estimora.llm.arrays import row_chunks
+from estimora.llm.arrays import mixed, powers, row_chunks
 from estimora.llm.shared import bounded, saved
 
 #: Nodes are removed below this importance, to which they get DOUBT / pages for the pages that have
-#: them: on two pages nothing is certain, on three what is equal on all. A node on fewer than
-#: MANY_PAGES must be on half of the host's pages: a few may be versions of one article.
-LEAST_IMPORTANCE, DOUBT, MANY_PAGES = 0.3, 0.6, 20
+#: them: on two pages nothing is certain, on three what is equal on all. The square of these pages
+#: must be LEAST_SHARE times the host's: a few of many may be versions of one article.
+LEAST_IMPORTANCE, DOUBT, LEAST_SHARE = 0.3, 0.6, 2.25
 #: Rows of removed nodes that are sent to all executors at most; more are joined by host.
 BROADCAST_ROWS = 100_000
 
@@ -43,38 +50,46 @@ RAW = frozenset("script style title textarea xmp iframe noembed noframes noscrip
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = frozenset("table ul ol dl select".split())
-# Elements, roles and words of classes and ids that are no part of an article; elements that are never judged.
+CELLS, TABLE = ("td", "th", "caption"), frozenset("table tr td th tbody thead tfoot caption html body".split())
+# Elements, roles and words of classes and ids that are no part of an article, and words
+# that may stand beside these in a name; elements that are never judged.
 DROPPED = frozenset("aside button canvas datalist dialog footer form head iframe input menu nav noembed noframes noscript object option script search select style svg template textarea title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 KEPT = frozenset(("", "html", "body", "main", "article"))
+PLAIN = frozenset("area article bar block body bottom box btn button buttons center close column container content count desktop entry feed form group header icon icons inner item items left link links list main mobile module new outer page panel post posts primary right row secondary section site slot sticky text thread top unit wrap wrapper".split())
 WORDS = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion promoted recommended related reply replies share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'<>]+)")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_STEP, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-@dataclass
-class Node:
-    parent: int
-    name: str
-    style: str
-    dropped: bool
-    below: list[str] = field(default_factory=list)
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 @dataclass
 class Page:
-    nodes: list[Node]
-    blocks: list[tuple[int, str]]
-
-    def line(self, node: int) -> list[int]:
-        """The node and those above it, the root last."""
-        found = []
-        while node >= 0:
-            found.append(node)
-            node = self.nodes[node].parent
-        return found
+    """Block elements in the order in which they open, the page itself first, and blocks of text."""
+
+    parents: list[int] = field(default_factory=lambda: [-1])
+    names: list[str] = field(default_factory=lambda: [""])
+    paths: list[int] = field(default_factory=lambda: [0])  # hashes of the styles from the root down
+    shapes: list[int] = field(default_factory=lambda: [0])  # hashes of the styles below
+    dropped: list[bool] = field(default_factory=lambda: [False])  # by element or role
+    doubted: list[bool] = field(default_factory=lambda: [False])  # by class or id
+    opened: list[int] = field(default_factory=lambda: [0])  # blocks before
+    closed: list[int] = field(default_factory=lambda: [0])  # blocks up to the end
+    holders: list[int] = field(default_factory=list)  # the element of each block
+    blocks: list[str] = field(default_factory=list)
+
+    def passed_down(self, own: list) -> list:
+        """For each element the first true value from the root down to it."""
+        out: list = []
+        for parent, x in zip(self.parents, own, strict=True):
+            out.append(parent >= 0 and out[parent] or x)
+        return out
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -85,41 +100,51 @@ def attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def no_article(name: str, found: dict[str, str], above: set[str]) -> bool:
-    """Whether an element is no part of an article; above: names of the elements it is in."""
-    if name in DROPPED or name == "header" and not above & {"article", "main"} or name == "article" and "article" in above:
-        return True
-    if not found:
-        return False
-    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", found.get("style", "")):
+@lru_cache(10_000)
+def telling(name: str) -> bool:
+    """Whether a class or id says that it is no part of an article: all its words must fit."""
+    words = [w.lower() for w in _PARTS.findall(name)]
+    return any(w in WORDS for w in words) and all(w in WORDS or w in PLAIN or w.isdigit() for w in words)
+
+
+def unwanted(name: str, found: dict[str, str], within: bool) -> bool:
+    """Whether an element is no part of an article; within: an article or main is open."""
+    if name in DROPPED or name == "header" and not within:
         return True
-    if name in ("body", "html", "main", "article"):
-        return False
-    return any(w.lower() in WORDS for w in _PARTS.findall(found.get("class", "") + " " + found.get("id", "")))
+    return bool(found) and ("hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", found.get("style", "")) is not None)
 
 
 def page_of(source: str) -> Page:
     """Block elements and blocks of text of a page. Elements that aren't closed end where HTML ends them."""
-    page = Page([Node(-1, "", "", False)], [])
-    stack: list[tuple[str, int]] = [("", 0)]  # name, and node of the nearest block element
+    page = Page()
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, nearest block element, and whether its text is lost
+    places: dict[str, list[int]] = defaultdict(list)  # where on the stack each name is open
+    blocks: list[int] = []  # where block elements are
     held: list[str] = []
-    hidden = 0  # open elements of one line that are dropped
-    lost: list[bool] = [False]
+    hidden = 0  # open elements of one line whose text is lost
+
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places[x]), default=0)
 
     def close_block() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                page.blocks.append((stack[-1][1], text))
+                page.holders.append(stack[-1][1])
+                page.blocks.append(text)
 
     def pop_to(k: int) -> None:
         nonlocal hidden
-        if any(name in BLOCKS for name, _ in stack[k:]):
+        if blocks and blocks[-1] >= k:
             close_block()
         while len(stack) > k:
-            stack.pop()
-            hidden -= lost.pop()
+            name, node, lost = stack.pop()
+            places[name].pop()
+            hidden -= lost
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+                page.closed[node] = len(page.blocks)
 
     at, n = 0, len(source)
     while at < n:
@@ -135,117 +160,128 @@ def page_of(source: str) -> Page:
             continue
         name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-                if stack[k][0] in ("td", "th", "caption") and name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "html", "body"):
-                    break
-            else:
-                if name in ("p", "br"):
-                    close_block()
+            k, cell = last((name,)), last(CELLS)
+            if k and (k >= cell or name in TABLE):
+                pop_to(k)
+            elif not k and not cell and name in ("p", "br"):
+                close_block()
             continue
         if name in BLOCKS:
-            for k in range(len(stack) - 1, 0, -1):
-                above = stack[k][0]
-                if above == "p" and name not in ("option", "optgroup") or above in ENDS.get(name, ()):
-                    pop_to(k)
-                    if above != "p":
-                        continue
-                    break
-                if above in SCOPES or above in BLOCKS and name not in ENDS:
-                    break
+            near = blocks[-1] if blocks else 0
+            if near and stack[near][0] == "p" and name not in ("option", "optgroup"):
+                pop_to(near)
+            while name in ENDS and (k := last(ENDS[name])) > last(SCOPES):
+                pop_to(k)
             close_block()
         if name == "br":
             held.append(" ")
         if name in VOID:
             continue
         found = attributes(m[3]) if m[3].strip(" /") else {}
-        node = stack[-1][1]
-        bad = no_article(name, found, {x for x, _ in stack})
+        bad = unwanted(name, found, bool(places["article"] or places["main"]))
+        doubt = name not in KEPT and any(map(telling, [*found.get("class", "").split(), *found.get("id", "").split()]))
+        node, lost = stack[-1][1], False
+        places[name].append(len(stack))
         if name in BLOCKS:
             style = ".".join([name, *sorted(found.get("class", "").split())])
-            page.nodes[node].below.append(style)
-            page.nodes.append(Node(node, name, style, bad))
-            node, bad = len(page.nodes) - 1, False
-        stack.append((name, node))
-        lost.append(bad)
-        hidden += bad
+            page.shapes[node] = (page.shapes[node] * _STEP + xxhash.xxh64_intdigest(style)) & _MASK
+            page.paths.append(xxhash.xxh64_intdigest(style, page.paths[node]))
+            page.parents.append(node)
+            page.names.append(name)
+            page.dropped.append(bad)
+            page.doubted.append(doubt)
+            page.shapes.append(0)
+            page.opened.append(len(page.blocks))
+            page.closed.append(len(page.blocks))
+            blocks.append(len(stack))
+            node = len(page.names) - 1
+        else:
+            lost = bad or doubt
+        stack.append((name, node, lost))
+        hidden += lost
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
+            end = raw_end(name).search(source, at)
             at = end.end()
             pop_to(len(stack) - 1)
     pop_to(1)
     close_block()
+    page.closed[0] = len(page.blocks)
     return page
 
 
-def styles(page: Page) -> list[int]:
-    """A number for the path of styles of each node."""
-    paths: list[str] = []
-    for node in page.nodes:
-        paths.append(f"{paths[node.parent]}/{node.style}" if node.parent >= 0 else "")
-    return [xxhash.xxh64_intdigest(p) - (1 << 63) for p in paths]
-
-
-#: The path of the root, which counts a host's pages.
-ROOT = xxhash.xxh64_intdigest("") - (1 << 63)
+@lru_cache(64)
+def raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I)
 
 
 def style_rows(page: Page) -> list[tuple[int, int, int]]:
     """(path, content, presentation) of each path of a page that can be removed."""
-    paths = styles(page)
-    content: dict[int, xxhash.xxh64] = {}
-    shape: dict[int, xxhash.xxh64] = {}
-    for node, p in zip(page.nodes, paths, strict=True):
-        if node.name in KEPT:
-            continue
-        shape.setdefault(p, xxhash.xxh64()).update("|".join([*node.below, "\n"]))
-    for node, text in page.blocks:
-        for p in dict.fromkeys(paths[k] for k in page.line(node) if page.nodes[k].name not in KEPT):
-            content.setdefault(p, xxhash.xxh64()).update(text + "\n")
-    return [(p, content[p].intdigest() - (1 << 63) if p in content else 0, shape[p].intdigest() - (1 << 63)) for p in shape]
+    up, down = powers(len(page.blocks) + 1)
+    a, b = np.array(page.opened), np.array(page.closed)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(page.blocks) + 1, np.uint64)
+        np.cumsum(np.array([xxhash.xxh64_intdigest(t) for t in page.blocks], np.uint64) * up[:-1], out=sums[1:])
+        content = np.where(b > a, mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)), np.uint64(0)).tolist()
+    # elements of one path follow one another
+    found: dict[int, tuple[int, int]] = {}
+    for name, path, c, shape in zip(page.names, page.paths, content, page.shapes, strict=True):
+        if name not in KEPT:
+            held = found.get(path, (0, 0))
+            found[path] = ((held[0] * _STEP + c) & _MASK, (held[1] * _STEP + shape + 1) & _MASK)
+    return [(signed(path), signed(c), signed(shape)) for path, (c, shape) in found.items()]
 
 
-def root_name(page: Page) -> str | None:
+#: The path of the root, which counts a host's pages.
+ROOT = 0
+
+
+def root_name(page: Page, kept: list[bool]) -> str | None:
     """article or main, whichever holds the text; main where it has more text beside its articles than in them."""
-    names = [n.name for n in page.nodes]
-    bad: list[bool] = []
-    for node in page.nodes:
-        bad.append(node.dropped or node.parent >= 0 and bad[node.parent])
-    known = {names[k] for k in range(len(names)) if not bad[k]}
-    if "article" not in known or "main" not in known:
-        return next((r for r in ("article", "main") if r in known), None)
-    within = beside = 0
-    for node, text in page.blocks:
-        if not bad[node]:
-            above = {names[k] for k in page.line(node)}
-            within += len(text) * ("article" in above)
-            beside += len(text) * ("main" in above and "article" not in above)
+    found = {name for name, ok in zip(page.names, kept, strict=True) if ok}
+    if "article" not in found or "main" not in found:
+        return next((r for r in ("article", "main") if r in found), None)
+    article, main = (page.passed_down([name == r for name in page.names]) for r in ("article", "main"))
+    within = sum(len(t) for k, t in zip(page.holders, page.blocks, strict=True) if kept[k] and article[k])
+    beside = sum(len(t) for k, t in zip(page.holders, page.blocks, strict=True) if kept[k] and main[k] and not article[k])
     return "main" if beside > within else "article"
 
 
 def main_text(page: Page, removed: frozenset | set) -> str:
     """The blocks of the article that are in no removed or dropped branch."""
-    paths = styles(page) if removed else []
-    names = [n.name for n in page.nodes]
-    root = root_name(page)
-    core = {k for k, p in enumerate(paths) if p in removed}
-    kept = []
-    for node, text in page.blocks:
-        line = page.line(node)
-        if any(page.nodes[k].dropped for k in line):
-            continue
-        if root is not None:
-            depth = max((i for i, k in enumerate(line) if names[k] == root), default=-1)
-            if depth < 0:
-                continue
-            # branches below the article's own paragraphs; the article itself stays
-            line = [k for k in line[:depth] if page.nodes[k].parent != line[depth] or names[k] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6")]
-        if core and any(k in core for k in line):
-            continue
-        kept.append(text)
-    return "\n\n".join(kept)
+    n = len(page.names)
+    dropped, doubted = page.passed_down(page.dropped), page.passed_down(page.doubted)
+    root = root_name(page, [not x and not y for x, y in zip(dropped, doubted, strict=True)]) or root_name(page, [not x for x in dropped])
+    # the outermost article or main of each element, -1 outside of all
+    top: list[int] = []
+    nested: list[bool] = []
+    for k, parent in enumerate(page.parents):
+        above = top[parent] if parent >= 0 else -1
+        top.append(above if above >= 0 else k if root is None or page.names[k] == root else -1)
+        nested.append(page.names[k] == "article" and above >= 0 and page.names[above] == "article" or parent >= 0 and nested[parent])
+    # text of each element: all that isn't dropped, and of the articles what no inner one holds
+    size = np.array([0 if dropped[k] else len(t) for k, t in zip(page.holders, page.blocks, strict=True)], np.int64)
+    before = np.concatenate([[0], np.cumsum(size)])
+    whole = (before[page.closed] - before[page.opened]).tolist()
+    own = before.copy()
+    own[1:] = np.cumsum(size * ~np.array([nested[k] for k in page.holders], bool))
+    alone = (own[page.closed] - own[page.opened]).tolist()
+    if root is not None:
+        dropped = [d or x and alone[t] > 0 for d, x, t in zip(dropped, nested, top, strict=True)]
+    doubted, judged = [False] * n, [False] * n
+    for k, t in enumerate(top):
+        if t >= 0:
+            doubted[k] = page.doubted[k] and (root is None or 2 * whole[k] <= whole[t])
+            paragraph = root is not None and page.parents[k] == t and page.names[k] in ("p", "h1", "h2", "h3", "h4", "h5", "h6")
+            judged[k] = not paragraph and k != t and page.names[k] not in KEPT and signed(page.paths[k]) in removed
+    doubted, judged = page.passed_down(doubted), page.passed_down(judged)
+    if root is not None:
+        # an article whose text is removed for the most part is one that other pages have, too
+        lost = before.copy()
+        lost[1:] = np.cumsum(size * np.array([judged[k] for k in page.holders], bool))
+        lost = (lost[page.closed] - lost[page.opened]).tolist()
+        judged = [x and t >= 0 and 2 * lost[t] <= whole[t] for x, t in zip(judged, top, strict=True)]
+    kept = [(k, t) for k, t in zip(page.holders, page.blocks, strict=True) if top[k] >= 0 and not dropped[k] and not doubted[k]]
+    return "\n\n".join([t for k, t in kept if not judged[k]] or [t for _, t in kept])
 
 
 def host_of(url):
@@ -260,7 +296,7 @@ def removed_styles(pages: DataFrame) -> DataFrame:
         for chunk in row_chunks(batches, "html"):
             hosts, rows = [], []
             for host, source in zip(chunk.column("host").to_pylist(), chunk.column("html").to_pylist(), strict=True):
-                page = xxhash.xxh64_intdigest(source or "") - (1 << 63)
+                page = signed(xxhash.xxh64_intdigest(source or ""))
                 some = [(page, ROOT, 0, 0), *((page, *row) for row in style_rows(page_of(source or "")))]
                 rows += some
                 hosts += [host] * len(some)
@@ -278,7 +314,7 @@ def removed_styles(pages: DataFrame) -> DataFrame:
     root, m = F.col("path") == ROOT, F.col("m")
     few = judged.filter(root | (F.col("importance") + DOUBT / m < LEAST_IMPORTANCE))
     few = few.withColumn("pages", F.max(F.when(root, m)).over(Window.partitionBy("host")))
-    return few.filter(~root & ((m >= MANY_PAGES) | (m * 2 >= F.col("pages")))).select("host", "path")
+    return few.filter(~root & (m * m >= F.col("pages") * LEAST_SHARE)).select("host", "path")
 
 
 def extracted(pages: DataFrame) -> DataFrame:

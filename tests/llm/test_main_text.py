@@ -1,5 +1,9 @@
 """Main texts of pages: articles in main, copies of pages, hosts of few pages."""
 
+import time
+
+import pytest
+
 from estimora.llm import html_main
 
 
@@ -20,6 +24,50 @@ def test_article_in_main():
     assert text("<main><p>A long story of its own</p><article>teaser</article></main>") == "A long story of its own\n\nteaser"
 
 
+def test_class_words_are_evidence():
+    """Compound names count as a whole; a branch with most of an article's text stays, whatever it is called."""
+    article = lambda inner: text(f"<article><h1>Title of it</h1><p>A first paragraph</p>{inner}</article>").removeprefix("Title of it\n\nA first paragraph").strip()
+    for kept in ('class="social-science"', 'id="notice-period"', 'class="comments-title"', 'class="shared x"', 'class="adventure"', 'class="replying"'):
+        assert article(f"<div {kept}>stays</div>") == "stays", kept
+    for gone in ('class="ad"', 'class="x cookie-notice"', 'id="comments"', 'class="post-comments"', 'class="sidebarLeft"', 'id="ad_300"', 'role="complementary"', "hidden", 'class="related-posts"'):
+        assert article(f"<div {gone}>goes</div>") == "", gone
+    assert text(f'<article><h1>T</h1><div class="social"><p>{"whole story " * 9}</p></div></article>').endswith("story")
+    assert text('<body><div class="sponsored"><article><p>Story</p></article></div><p>beside</p></body>') == "Story"
+    assert text('<body><div class="ad">only this</div></body>') == ""
+
+
+def test_articles_in_articles():
+    assert text("<article><article><p>All of it</p></article></article>") == "All of it"
+    assert text("<article><p>Post</p><div><article>a very long comment on it</article></div></article>") == "Post"
+
+
+@pytest.mark.parametrize("deep", ["<div>" * 100_000 + "<p>x", "<div>x" * 50_000, "<b>" * 50_000 + "<hr>" * 50_000 + "x", "<table><td>" + "<i>" * 50_000 + "</table-x></p>" * 50_000 + "x", "<ul><li><div>" * 20_000 + "x", "<div>" * 50_000 + "<li>x</li>" * 50_000, "<p " * 20_000 + "x"])
+def test_deep_and_long_pages(deep):
+    began = time.monotonic()
+    page = html_main.page_of(deep)
+    assert html_main.style_rows(page) is not None and html_main.main_text(page, {1}).count("x") > 0
+    assert time.monotonic() - began < 20
+
+
+def test_one_article_on_many_pages(spark):
+    """An article that all pages of a host share, in a branch of its own, stays on each."""
+    page = lambda k: f'<title>{k}</title><body><nav>Menu</nav><article><div class="body"><p>The same article on each page</p><p>and more of it</p></div></article></body>'
+    for n in (2, 19, 20, 60):
+        assert texts(spark, [page(k) for k in range(n)]) == ["The same article on each page\n\nand more of it"] * n
+        assert texts(spark, [page(0)] * n) == ["The same article on each page\n\nand more of it"] * n
+
+
+def test_the_tree_decides(spark):
+    """On a host with boxes of no telling name, texts come out right through the tree alone."""
+    def page(k):
+        box, rail = "<div class=kx7><p>Join 40,000 readers</p><p>Enter your address</p></div>", f"<div class=rr><p>Most read</p><ul><li>One story<li>Another story {k % 2}</ul></div>"
+        return f"<html><body><div class=top><p>The Daily Page</p><p>News Sport Weather</p></div>{rail}<div class=text><h1>Story {k}</h1><p>What happened on day {k}</p>{box}<p>The end {k * 3}</p></div><div class=end>About us</div></body></html>"
+
+    pages = [page(k) for k in range(40)]
+    assert texts(spark, pages) == [f"Story {k}\n\nWhat happened on day {k}\n\nThe end {k * 3}" for k in range(40)]
+    assert all("Daily Page" in text(p) and "40,000" in text(p) for p in pages)
+
+
 def test_copies_of_pages_count_once(spark):
     """Pages without an article keep their texts, however often each is there; what repeats over them goes."""
     page = lambda k: f'<body><div class="x1">Buy now</div><div class="x2"><p>Text {k} of its own</p><ul><li>Item {k}</ul></div></body>'
