@@ -87,8 +87,8 @@ def _count(level):
     return f"(length(low) - length(replace(low, '{level}', ''))) // {len(level)}"
 
 
-#: A register is derived from each document: its text after a line of levels. This SQL still cuts the text to 200 characters.
-_REGISTER = "concat('| R01 | risk | ', (['High', 'Medium', 'Critical', 'Low'])[CAST(doc_id % 4 + 1 AS INTEGER)], ' | Medium | Risk Level: High |', chr(10), substring(text, 1, 200))"
+#: A register is derived from each document: its text after a line of levels.
+_REGISTER = "concat('| R01 | risk | ', (['High', 'Medium', 'Critical', 'Low'])[CAST(doc_id % 4 + 1 AS INTEGER)], ' | Medium | Risk Level: High |', chr(10), text)"
 _LEVELS = f"WITH r AS (SELECT doc_id, lower({_REGISTER}) AS low FROM documents), n AS (SELECT doc_id, {_count('critical')} AS critical, {_count('| high')} + {_count('risk level: high')} AS high, {_count('| medium')} + {_count('risk level: medium')} AS medium FROM r)"
 
 
@@ -152,7 +152,7 @@ def safe_filename(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", report.file_name("test_plan", F.concat("p_name", F.lit(" / "), "p_type", F.lit(" é?")), at).alias("name"))
 
 
-@query("safe_source", r"SELECT doc_id, regexp_replace(replace(substring(text, 1, 60), ' ', '_'), '[^\p{L}\p{N}_\-.]', '_', 'g') AS name FROM documents")
+@query("safe_source", r"SELECT doc_id, regexp_replace(replace(text, ' ', '_'), '[^\p{L}\p{N}_\-.]', '_', 'g') AS name FROM documents")
 def safe_source(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", safe_name(F.col("text")).alias("name"))
 
