@@ -1,5 +1,7 @@
 """Validation, text columns, chunks, files, retrieval, reports, feedback and streams."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,12 +38,43 @@ def test_front_matter(spark, text, body):
 def test_names_and_sections(spark):
     assert one(spark, safe_name(F.col("t")), t="Prøjéct A/B: v1.0-x") == "Prøjéct_A_B__v1.0-x"
     text = "EXECUTIVE_SUMMARY: One.\nTwo\nASSUMPTIONS: - a\nRECOMMENDATIONS:\n- r "
-    assert [one(spark, section(F.col("t"), s), t=text) for s in ("EXECUTIVE_SUMMARY", "ASSUMPTIONS", "RECOMMENDATIONS", "OTHER")] == ["One.\nTwo", "- a", "- r", ""]
+    assert [one(spark, section(F.col("t"), s), t=text) for s in ("EXECUTIVE_SUMMARY", "ASSUMPTIONS", "RECOMMENDATIONS", "OTHER")] == ["One.", "- a", "- r", ""]
+    # any line that opens with a word of three letters or more and white space is a heading, so the first ends at "Two"
+    assert one(spark, section(F.col("t"), "ASSUMPTIONS"), t="ASSUMPTIONS:\n- a b\n- c\nIt is so.\n\nRECOMMENDATIONS: x") == "- a b\n- c\nIt is so."
+
+
+def split_by_force(text, size=1000, overlap=200, separators=chunking.SEPARATORS):
+    """Pieces by the first separator that is there, each behind its separator, and chunks as runs of pieces."""
+
+    def cut(t, rest):
+        k = next((k for k, s in enumerate(rest) if s in t), None)
+        if k is None:
+            return [t]
+        at = [0, *(m.start() for m in re.finditer(re.escape(rest[k]), t)), len(t)]
+        return [q for a, b in zip(at, at[1:]) if b > a for q in (cut(t[a:b], rest[k + 1 :]) if b - a > size else [t[a:b]])]
+
+    found = cut(text, separators) if text else []
+    runs, first = [], 0
+    for k in range(len(found)):
+        held = sum(map(len, found[first:k]))
+        if first < k and held + len(found[k]) > size:
+            runs.append((first, k))
+            while first < k and (sum(map(len, found[first:k])) > overlap or sum(map(len, found[first : k + 1])) > size):
+                first += 1
+    runs.append((first, len(found)))
+    return [c for c in ("".join(found[a:b]).strip() for a, b in runs) if c]
+
+
+def test_chunks_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {(r["doc_id"], r["chunk_no"]): r["chunk"] for r in chunking.chunked(docs).collect()}
+    assert found == {(r["doc_id"], k): c for r in docs.collect() for k, c in enumerate(split_by_force(r["text"]))}
 
 
-@pytest.mark.parametrize("text", ["", "a" * 2500, "word " * 900, "# T\n\n" + "\n\n".join("para %d " % k * 40 for k in range(30)), "x\n## H\n" + "y " * 700 + "\n---z"])
+@pytest.mark.parametrize("text", ["", "a" * 2500, "".join(f"w{k} " for k in range(900)), "# T\n\n" + "\n\n".join("para %d " % k * 40 for k in range(30)), "x\n## H\n" + "y " * 700 + "\n---z"])
 def test_recursive_chunks(text):
     chunks = chunking.recursive_chunks(text)
+    assert chunks == split_by_force(text)
     assert all(len(c) <= 1000 or " " not in c for c in chunks)
     squeezed, at = "".join(text.split()), 0
     for c in chunks:  # in order, and nothing is left out
