@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +10,7 @@ from estimora.functions.words import NO_TEAM_WORDS, VAGUE_WORDS
 
 def contains_any(c: Column, words) -> Column:
     """Whether the lower-cased text contains any of the words, be it within other words."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return reduce(lambda a, b: a | b, (low.contains(w) for w in words))
+    return F.lower(F.coalesce(c, F.lit(""))).rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
 def one_of(c: Column, words) -> Column:
@@ -26,7 +23,7 @@ def stripped(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return F.coalesce(stripped(c), F.lit("")) == ""
+    return ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
 
 
 def otherwise(c: Column, default: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from estimora.functions.rules import confidence, confidence_label, data_quality, method_kind, multipliers, project_kind
 from estimora.functions.text import duration_days, occurrences, team_size
-from estimora.sources.dims import ACTIVITIES, AUTOMATION_SETUP, DEFAULT_RISK_SHARE, RISK_DAYS, RISK_SHARE, baseline
+from estimora.sources.dims import ACTIVITIES, AUTOMATION_SETUP, BASELINE, DEFAULT_RISK_SHARE, RISK_DAYS, RISK_SHARE, baseline
 
 
 def tenth(c: Column) -> Column:
@@ -30,7 +30,7 @@ def with_baseline(projects: DataFrame) -> DataFrame:
     dim = baseline(projects.sparkSession)
     exact = dim.filter("meth != ''").withColumnsRenamed({"pct_min": "exact_min", "pct_max": "exact_max"})
     loose = dim.filter("meth = '' AND ptype != 'default'").drop("meth").withColumnsRenamed({"pct_min": "loose_min", "pct_max": "loose_max"})
-    default = dim.filter("ptype = 'default'").first()
+    default = dict(zip(("pct_min", "pct_max"), next(b[2:] for b in BASELINE if b[0] == "default"), strict=True))
     out = projects.join(F.broadcast(exact), ["ptype", "meth"], "left").join(F.broadcast(loose), "ptype", "left")
     for end in ("min", "max"):
         out = out.withColumn(f"pct_{end}", F.coalesce(f"exact_{end}", f"loose_{end}", F.lit(default[f"pct_{end}"])))
@@ -48,27 +48,34 @@ def with_effort(projects: DataFrame) -> DataFrame:
     return out.withColumns({f"adj_{end}": tenth(F.col(f"base_{end}") * (F.lit(1) + F.col("mult_total") / 100)) for end in ("min", "max")})
 
 
-def _activity(k: int, name: str, lo: int, hi: int) -> Column:
-    pct = F.lit((lo + hi) / 2) * F.col("scale")
-    likely = tenth((F.col("adj_min") + F.col("adj_max")) / 2 * pct / 100)
-    low, high = tenth(likely * 0.6), tenth(likely * 1.8)
-    return F.struct(F.lit(k).alias("ord"), F.lit(name).alias("activity"), low.alias("optimistic"), likely.alias("most_likely"), high.alias("pessimistic"), tenth((low + likely * 4 + high) / 6).alias("expected"), tenth((high - low) / 6).alias("sd"), F.bround(pct, 0).alias("pct"))
-
-
 def with_activities(projects: DataFrame) -> DataFrame:
-    """Three-point estimates of each activity, and their totals, summed in order."""
-    whole = sum((lo + hi) / 2 for _, _, lo, hi in ACTIVITIES)
-    setup = next((lo + hi) / 2 for k, _, lo, hi in ACTIVITIES if k == AUTOMATION_SETUP)
-    out = projects.withColumn("scale", F.when(F.col("mult_total") > 0, F.lit(100.0 / whole)).otherwise(100.0 / (whole - setup)))
-    found = [F.when(F.col("mult_total") > 0, _activity(*a)) if a[0] == AUTOMATION_SETUP else _activity(*a) for a in ACTIVITIES]
-    out = out.withColumn("activities", F.array_compact(F.array(*found)))
-    total = lambda f: F.aggregate("activities", F.lit(0.0), lambda a, x: a + x[f])
-    out = out.withColumns({"sum_o": total("optimistic"), "sum_m": total("most_likely"), "sum_p": total("pessimistic")})
-    o, m, p = F.col("sum_o"), F.col("sum_m"), F.col("sum_p")
-    found = {"activities": F.col("activities"), "pert_o": tenth(o), "pert_m": tenth(m), "pert_p": tenth(p), "pert_e": tenth((o + m * 4 + p) / 6), "pert_sd": tenth((p - o) / 6)}
-    kept = [c for c in out.columns if c not in (*found, "sum_o", "sum_m", "sum_p")]
+    """Three-point estimates of each activity, and their totals, summed in order.
+
+    Each step is a projection of plain columns, so that a value is computed once, in generated code,
+    however often later steps use it; the array of activities is made last.
+    """
+    middles = {k: (lo + hi) / 2 for k, _, lo, hi in ACTIVITIES}
+    whole, setup = sum(middles.values()), middles[AUTOMATION_SETUP]
+    scale = f"CASE WHEN mult_total > 0 THEN {100 / whole!r}D ELSE {100 / (whole - setup)!r}D END"
+    steps = (
+        {"_mid": "(adj_min + adj_max) / 2", "_scale": scale},
+        {f"_share{k}": f"{mid!r}D * _scale" for k, mid in middles.items()},
+        {f"_m{k}": f"bround(_mid * _share{k} / 100, 1)" for k in middles},
+        {f"_{end}{k}": f"bround(_m{k} * {part}D, 1)" for k in middles for end, part in (("o", 0.6), ("p", 1.8))},
+    )
+    out = projects
+    for step in steps:
+        out = out.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    known = lambda k, sql: f"CASE WHEN mult_total > 0 THEN {sql} END" if k == AUTOMATION_SETUP else sql
+    each = {
+        k: known(k, f"named_struct('ord', {k}, 'activity', '{name}', 'optimistic', _o{k}, 'most_likely', _m{k}, 'pessimistic', _p{k}, 'expected', bround((_o{k} + _m{k} * 4 + _p{k}) / 6, 1), 'sd', bround((_p{k} - _o{k}) / 6, 1), 'pct', bround(_share{k}, 0))")
+        for k, name, _, _ in ACTIVITIES
+    }
+    total = lambda x: " + ".join(f"coalesce({known(k, f'_{x}{k}')}, 0)" if k == AUTOMATION_SETUP else f"_{x}{k}" for k in middles)
+    out = out.withColumns({"_activities": F.expr(f"array_compact(array({', '.join(each.values())}))"), **{f"_{x}": F.expr(total(x)) for x in "omp"}})
+    found = "'activities', _activities, 'pert_o', bround(_o, 1), 'pert_m', bround(_m, 1), 'pert_p', bround(_p, 1), 'pert_e', bround((_o + _m * 4 + _p) / 6, 1), 'pert_sd', bround((_p - _o) / 6, 1)"
     # a generator of one row: filters on these columns stay above it, and don't repeat what they are made of
-    return out.select(*kept, F.inline_outer(F.array(F.struct(*(c.alias(k) for k, c in found.items())))))
+    return out.select(*projects.columns, F.expr(f"inline_outer(array(named_struct({found})))"))
 
 
 def risk_days(register: Column) -> Column:
