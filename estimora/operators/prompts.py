@@ -10,10 +10,12 @@ from estimora.functions.words import NO_TESTS, NOTHING
 
 # Labels of the summary, padded to one width.
 SUMMARY = (("Project Name:", "project_name"), ("Description:", "project_description"), ("Type:", "project_type"), ("Tech Stack:", "tech_stack"), ("QA Team Size:", "team_qa_size"), ("Dev Team Size:", "team_dev_size"), ("Timeline:", "timeline"), ("Methodology:", "methodology"), ("Known Risks:", "known_risks"), ("Existing Automation:", "existing_automation"), ("Compliance:", "compliance_requirements"))
-#: Sections that each generated document must have.
-RISK_SECTIONS = ("Executive Summary", "Risk Matrix", "Detailed Risks", "Mitigation", "Monitoring", "Assumptions")
-STRATEGY_SECTIONS = ("Introduction", "Scope", "Approach", "Test Levels", "Test Types", "Environments", "Automation", "Risks", "Roles", "Metrics", "Schedule")
-PLAN_SECTIONS = ("Identifier", "Introduction", "Items", "Features in Scope", "Features out of Scope", "Approach", "Pass and Fail Criteria", "Suspension", "Deliverables", "Environment", "Schedule", "Approvals")
+# Sections that each generated document must have.
+RISK_SECTIONS = ("Executive Summary", "Risk Matrix Overview", "Detailed Risk Analysis", "Risk-Based Testing Priorities", "Recommendations for QA Strategy")
+STRATEGY_SECTIONS = ("Project Overview", "Scope — What Will Be Tested", "Scope — What Will NOT Be Tested", "Risk Assessment", "Test Types Recommended", "Test Approach & Methodology", "Entry & Exit Criteria", "Resources & Man Power Estimation", "Tools & Environment", "Key Risks & Mitigations", "References")
+PLAN_SECTIONS = ("Introduction", "Test Items", "Features to be Tested", "Features NOT to be Tested", "Test Approach", "Entry and Exit Criteria", "Test Deliverables", "Testing Schedule", "Environmental Needs", "Responsibilities", "AI Tool Usage and Oversight", "Risks and Contingencies")
+MATRIX = "| Risk ID | Risk Description | Likelihood | Impact | Risk Level | Priority |"
+DETAILS = ("Category", "Description", "Likelihood", "Impact", "Risk Level", "Early Warning Signs", "Mitigation Strategy", "Contingency Plan")
 REGISTER_MOST = 2000
 
 
@@ -53,23 +55,26 @@ def plan_query() -> Column:
     )
 
 
-def prompt(task: str, sections, context: Column, register: Column | None = None) -> Column:
-    """A prompt with the project's summary, retrieved context and, for plans, the start of the risk register."""
-    asked = "\n".join(f"{k}. {s}" for k, s in enumerate(sections, 1))
+def prompt(title: str, sections, context: Column, register: Column | None = None, *asked: Column | str) -> Column:
+    """A prompt for a document: the project's summary, retrieved context, for plans the start of the
+    risk register, the document's headings in order, and what else is asked for."""
+    heads = "\n".join(f"## {s}" if title == "Risk Register" else f"## {k}. {s}" for k, s in enumerate(sections, 1))
     known = [F.lit("\nRISK REGISTER:\n"), shortened(register, REGISTER_MOST)] if register is not None else []
-    return F.concat(F.lit(f"{task}\n\n"), summary(), F.lit("\n\nKNOWLEDGE:\n"), context, *known, F.lit(f"\n\nWrite these sections:\n{asked}\n"))
+    more = [F.concat(F.lit("\n"), F.lit(x) if isinstance(x, str) else x) for x in asked]
+    return F.concat(F.lit(f"Write a {title} for this project.\n\n"), summary(), *known, F.lit("\n\nKNOWLEDGE:\n"), context, F.lit(f"\n\nKeep to these headings:\n# {title} — "), F.col("project_name"), F.lit(f"\n{heads}\n"), *more)
 
 
 def risk_prompt(context: Column) -> Column:
-    return prompt("Write a risk register with a matrix of rows | R01 | risk | likelihood | impact | level |.", RISK_SECTIONS, context)
+    return prompt("Risk Register", RISK_SECTIONS, context, None, f"All risks by priority in a table: {MATRIX}", f"For each risk a part R01, R02 and so on with: {', '.join(DETAILS)}.")
 
 
 def strategy_prompt(context: Column) -> Column:
-    return prompt("Write a test strategy.", STRATEGY_SECTIONS, context)
+    return prompt("Test Strategy", STRATEGY_SECTIONS, context, None, "Rate likelihood and impact of each risk as High, Medium or Low, and name the three to five that matter most.")
 
 
 def plan_prompt(context: Column, register: Column) -> Column:
-    return prompt("Write a test plan in the structure of IEEE 829.", PLAN_SECTIONS, context, register)
+    given = F.concat(F.lit("Plan for these tools: "), "tech_stack", F.lit("; this time: "), "timeline", F.lit("; these testers: "), "team_qa_size", F.lit("; these developers: "), "team_dev_size")
+    return prompt("Test Plan", PLAN_SECTIONS, context, register, "Follow IEEE 829; say when testing is suspended and resumed.", given)
 
 
 def narrative_prompt() -> Column:

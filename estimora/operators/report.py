@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estimora.functions.text import otherwise, safe_name, section, titled
+from estimora.sources.shared import file_system
 
-# What stands in place of sections that a narrative lacks.
+# Headings, heads of tables and labels of figures below, which readers of reports look for, and what stands in place of sections that a narrative lacks.
 DEFAULTS = {
     "EXECUTIVE_SUMMARY": "QA effort estimate generated based on project context and industry benchmarks.",
     "ASSUMPTIONS": "- Standard working days assumed (8h/day)\n- 75% utilization rate for QA engineers",
@@ -37,8 +38,8 @@ def activity_table() -> Column:
 
 
 def capacity_lines() -> Column:
-    enough = F.format_string("✅ **Surplus:** %.1f person-days available above estimate", "gap")
-    short = F.format_string("⚠️ **Deficit:** %.1f person-days short — action required", F.abs("gap"))
+    enough = F.format_string("✅ **Surplus:** %.1f person-days more than needed", "gap")
+    short = F.format_string("⚠️ **Deficit:** %.1f person-days too few", F.abs("gap"))
     known = F.format_string("- **QA Team Size:** %d engineers\n- **Project Duration:** %d working days\n- **Utilization Rate:** 75%%\n- **Available Capacity:** %.1f person-days\n- **PERT Expected Need:** %.1f person-days\n- ", "qa", "days", "available", "pert_e")
     return F.concat(known, F.when(F.col("gap") >= 0, enough).otherwise(short))
 
@@ -57,7 +58,7 @@ def report(reply: Column | None = None) -> Column:
     )
     adjusted = F.format_string("**Total adjustment: +%.1f%%**\n**Adjusted effort: %.1f – %.1f person-days**", "mult_total", "adj_min", "adj_max")
     spread = F.format_string("**95%% confidence range: %.1f – %.1f person-days**", F.bround(F.col("pert_e") - F.col("pert_sd") * 2, 1), F.bround(F.col("pert_e") + F.col("pert_sd") * 2, 1))
-    risk = F.format_string("- **Risk buffer applied:** %.1f person-days\n- **Based on:** Risk Register findings (critical/high/medium risks identified)\n- **Final effort range:** %.1f – %.1f person-days", "buffer", "final_min", "final_max")
+    risk = F.format_string("- **Risk buffer applied:** %.1f person-days\n- **Based on:** levels named in the risk register\n- **Final effort range:** %.1f – %.1f person-days", "buffer", "final_min", "final_max")
     parts = [
         ("Executive Summary", F.concat_ws("\n\n", narrative(told, "EXECUTIVE_SUMMARY"), figures)), ("Baseline Calculation", base), ("Complexity Adjustments", F.concat_ws("\n\n", multiplier_table(), adjusted)),
         ("Activity Breakdown (PERT)", F.concat_ws("\n\n", activity_table(), spread)), ("Team Capacity Analysis", capacity_lines()), ("Risk Buffer", risk),
@@ -94,7 +95,21 @@ def pdf(documents: DataFrame, render, column: str = "body") -> DataFrame:
     return documents.withColumn("pdf", run(F.col(column)))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """documents(document_type, file_name, body, ...) as a table by type; a file name holds one row,
-    the last one written."""
-    documents.write.mode("append").partitionBy("document_type").parquet(path)
+def write_documents(documents: DataFrame, folder: str) -> DataFrame:
+    """Write documents(file_name, body) as text files to a folder that all executors reach, and return
+    a row with the number of files for each task. A file that is there already is replaced; of rows
+    with one name the greatest body is written, and null bodies and names are not."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = file_system(folder)
+        store.create_dir(base, recursive=True)
+        n = 0
+        for f in frames:
+            for name, body in zip(f["file_name"], f["body"], strict=True):
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write(body.encode())
+                n += 1
+        yield pd.DataFrame({"n_files": [n]})
+
+    once = documents.filter("body IS NOT NULL AND file_name IS NOT NULL").groupBy("file_name").agg(F.max("body").alias("body"))
+    return once.mapInPandas(run, "n_files long")

@@ -6,55 +6,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-#: Queries that are sent to all executors at once; a larger set is taken in blocks of so many.
-BLOCK_QUERIES = 4096
+from estimora.sources.shared import file_system, new_path
 
+#: Queries that a task reads at once, bytes of vectors that it holds, and scores that it computes at once.
+BLOCK_QUERIES, HELD_BYTES, SCORES_AT_ONCE = 1024, 32_000_000, 4_000_000
 
-def unit_rows(vectors: list) -> np.ndarray:
-    """Rows of unit length; a null vector and one of length zero become zero."""
-    width = max((len(v) for v in vectors if v is not None), default=1)
-    x = np.array([v if v is not None else [0.0] * width for v in vectors], np.float64)
-    norms = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
 
+def unit_rows(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length of vector: ids in ascending order, and rows of unit length in double precision.
+    Vectors that are null, zero, or hold a null or non-finite component aren't among them."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    out = {}
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == width)
+        flat = vectors.take(pa.array(at)).flatten()
+        x = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        norms = np.linalg.norm(x, axis=1)
+        sound = np.isfinite(norms) & (norms > 0)
+        known = ids.to_numpy(zero_copy_only=False)[at][sound]
+        order = np.argsort(known, kind="stable")
+        out[width] = known[order], (x[sound] / norms[sound, None])[order]
+    return out
 
-def _nearest(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataFrame:
-    """For each batch of vectors and each query, the k best of that batch."""
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), matrix))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, queries = shared.value
-        for batch in batches:
-            vec_ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            x = unit_rows(batch.column("embedding").to_pylist())
-            order = np.argsort(vec_ids, kind="stable")
-            some = np.any(x[order] != 0, axis=1)
-            vec_ids, x = vec_ids[order][some], x[order][some]
-            scores = queries @ x.T
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            rows, at = np.repeat(np.arange(len(known)), best.shape[1]), best.ravel()
-            found = np.any(queries != 0, axis=1)[rows]
-            rows, at = rows[found], at[found]
-            yield pa.RecordBatch.from_arrays([pa.array(known[rows]), pa.array(vec_ids[at]), pa.array(scores[rows, at])], ["query_id", "vec_id", "score"])
-
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k highest scores of each row, of equal ones those of the first columns."""
+    if scores.shape[1] > k:
+        rows, columns = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None])
+    else:
+        rows, columns = np.divmod(np.arange(scores.size), max(1, scores.shape[1]))
+    order = np.lexsort((columns, -scores[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[rank < k], columns[rank < k]
+
+
+def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= HELD_BYTES:
+            yield pa.Table.from_batches(some).combine_chunks()
+            some, size = [], 0
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks()
+
+
+def read_queries(folder: str) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs, parquet
+
+    store, base = file_system(folder)
+    for f in sorted(store.get_file_info(fs.FileSelector(base)), key=lambda f: f.path):
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as file:
+                yield from parquet.ParquetFile(file).iter_batches(BLOCK_QUERIES, columns=["query_id", "query"])
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score and rank of the k nearest vectors(vec_id, embedding) by cosine to each
-    of queries(query_id, query); ties by id. A stated set of queries against all rows: it is sent to
-    the rows in blocks, each batch of rows is one matrix product and keeps k rows for a query, and
-    only these are moved. Zero and null vectors and queries have no cosine and find nothing."""
-    rows = [(r["query_id"], r["query"]) for r in queries.select("query_id", "query").toLocalIterator()]
-    found = None
-    for a in range(0, max(1, len(rows)), BLOCK_QUERIES):
-        part = rows[a : a + BLOCK_QUERIES]
-        some = _nearest(vectors, [i for i, _ in part], unit_rows([q for _, q in part]), k)
-        found = some if found is None else found.union(some)
+    of queries(query_id, query); ties by id. A stated set of queries against all rows: it is written
+    to the shared folder, and each task reads it block by block for the vectors that it holds, keeps
+    k of them for a query, and only these are moved. Neither side passes through the driver. Null,
+    zero and non-finite vectors and queries, and vectors of another length, have no cosine."""
+    folder = new_path(queries.sparkSession, "queries")
+    queries.select("query_id", "query").write.parquet(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in held(batches):
+            if not table.num_rows:
+                continue
+            known = unit_rows(table.column("vec_id").combine_chunks(), table.column("embedding").combine_chunks())
+            for block in read_queries(folder):
+                for width, (query_ids, asked) in unit_rows(block.column("query_id"), block.column("query")).items():
+                    vec_ids, x = known.get(width, (None, None))
+                    if vec_ids is None or not len(vec_ids):
+                        continue
+                    step = max(1, SCORES_AT_ONCE // len(vec_ids))
+                    for a in range(0, len(query_ids), step):
+                        scores = asked[a : a + step] @ x.T
+                        rows, at = best(scores, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(query_ids[a + rows]), pa.array(vec_ids[at]), pa.array(scores[rows, at])], ["query_id", "vec_id", "score"])
+
+    found = vectors.filter("vec_id IS NOT NULL").select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
     w = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -90,10 +90,10 @@ def rag_queries(spark, sf_dir):
     return projects(spark, sf_dir).select("project_id", prompts.strategy_query().alias("strategy_query"), prompts.risk_query().alias("risk_query"), prompts.plan_query().alias("plan_query"))
 
 
-_SUMMARY = "concat(" + ", chr(10), ".join([quoted("PROJECT CONTEXT SUMMARY"), quoted("=" * 24), *(f"{quoted(label.ljust(23))}, {f}" for label, f in prompts.SUMMARY)]) + ")"
+SUMMARY_SQL = "concat(" + ", chr(10), ".join([quoted("PROJECT CONTEXT SUMMARY"), quoted("=" * 24), *(f"{quoted(label.ljust(23))}, {f}" for label, f in prompts.SUMMARY)]) + ")"
 
 
-@query("context_summary", f"WITH projects AS ({PROJECTS_SQL}) SELECT project_id, rtrim({_SUMMARY}) AS summary FROM projects")
+@query("context_summary", f"WITH projects AS ({PROJECTS_SQL}) SELECT project_id, rtrim({SUMMARY_SQL}) AS summary FROM projects")
 def context_summary(spark, sf_dir):
     return projects(spark, sf_dir).select("project_id", prompts.summary().alias("summary"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from estimora.functions.text import blank
 from estimora.operators import embedding, estimate, generation, prompts, report, retrieval
 
 KINDS = ("risk", "strategy", "plan")
@@ -27,8 +28,9 @@ def contexts(projects: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def documents_of(projects: DataFrame, docs: DataFrame, providers=None) -> DataFrame:
-    """project_id, document_type and body of the four documents; a step that fails leaves an empty
-    body, and later ones go on without it."""
+    """project_id, document_type, body and error of the four documents; a step that fails leaves an
+    empty body, and later ones go on without it. A blank strategy is an error, as a strategy is
+    what the rest is made for."""
     text = lambda c: F.coalesce(c, F.lit(""))
     rows = projects.join(contexts(projects, docs), "project_id", "left")
     rows = rows.withColumn("risk_prompt", prompts.risk_prompt(text(F.col("risk_context"))))
@@ -37,6 +39,10 @@ def documents_of(projects: DataFrame, docs: DataFrame, providers=None) -> DataFr
     rows = generation.generated(rows, "told_prompt", providers, "told")
     rows = rows.withColumns({"strategy_prompt": prompts.strategy_prompt(text(F.col("strategy_context"))), "plan_prompt": prompts.plan_prompt(text(F.col("plan_context")), F.col("register"))})
     rows = generation.generated(generation.generated(rows, "strategy_prompt", providers, "strategy"), "plan_prompt", providers, "plan")
-    found = (("risk_register", F.col("register")), ("test_strategy", text(F.col("strategy"))), ("effort_estimation", report.report(F.col("told"))), ("test_plan", text(F.col("plan"))))
-    bodies = F.array(*(F.struct(F.lit(kind).alias("document_type"), body.alias("body")) for kind, body in found))
+    empty = F.when(blank(F.col("strategy")), F.concat(F.lit("empty test strategy for "), "project_name"))
+    found = (
+        ("risk_register", F.col("register"), F.col("register_error")), ("test_strategy", F.when(~blank(F.col("strategy")), F.col("strategy")), F.coalesce("strategy_error", empty)),
+        ("effort_estimation", report.report(F.col("told")), F.col("told_error")), ("test_plan", F.col("plan"), F.col("plan_error")),
+    )
+    bodies = F.array(*(F.struct(F.lit(kind).alias("document_type"), text(body).alias("body"), error.alias("error")) for kind, body, error in found))
     return rows.select("project_id", F.inline(bodies))

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from estimora.functions.text import html_escaped, otherwise, safe_name, section, shortened, without_front_matter
-from estimora.operators import chunking, embedding, estimate, feedback, generation, prompts, report, retrieval
+from estimora.operators import ask, chunking, embedding, estimate, feedback, generation, prompts, report, retrieval
+from estimora.plans.dialogue import SUMMARY_SQL
 from estimora.plans.registry import query
 from estimora.plans.sql import ESTIMATES, with_tenths
-from estimora.sources.corpus import CATEGORIES, category_of
+from estimora.sources.corpus import CATEGORIES, category_of, read_vectors, write_vectors
 from estimora.sources.projects import projects
+from estimora.sources.shared import new_path
 from estimora.sources.tables import table
 
 _CATEGORY = "CASE " + " ".join(f"WHEN seg = '{k}' THEN '{v}'" for k, v in CATEGORIES) + " END"
@@ -62,10 +64,13 @@ def vector_topk_batch(spark, sf_dir):
     return retrieval.top_k(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), e, 5).select("query_id", "vec_id", "rank")
 
 
-@query("retrieved_sources", f"""WITH hits AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS rank
+_CONTEXT = f"""WITH hits AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS rank
   FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) WHERE rank <= 5)
   SELECT query_id, string_agg(concat('[Source ', CAST(r AS VARCHAR), ' — ', d.lang, ': ', d.source, ']', chr(10), d.text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank) AS context,
-  array_to_string(list_sort(list_distinct(list(concat('[', d.lang, '] ', d.source)))), ', ') AS sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM hits JOIN documents d ON d.doc_id = hits.vec_id) d GROUP BY 1""")
+  array_to_string(list_sort(list_distinct(list(concat('[', d.lang, '] ', d.source)))), ', ') AS sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM hits JOIN documents d ON d.doc_id = hits.vec_id) d GROUP BY 1"""
+
+
+@query("retrieved_sources", _CONTEXT)
 def retrieved_sources(spark, sf_dir):
     """The context of each query: the documents whose ids the nearest vectors have."""
     hits = vector_topk_batch(spark, sf_dir)
@@ -75,6 +80,32 @@ def retrieved_sources(spark, sf_dir):
     return found.select("query_id", "context", F.array_join("sources", ", ").alias("sources"))
 
 
+_MARK = "substring(sha256(concat('Answer from this knowledge only.', chr(10), chr(10), 'KNOWLEDGE:', chr(10), context, chr(10), chr(10), 'QUESTION: ', question)), 1, 8)"
+
+
+@query("ask_with_rag", f"""WITH found AS ({_CONTEXT}), asked AS (SELECT d.doc_id AS query_id, d.text AS question, coalesce(context, '') AS context, coalesce(sources, '') AS sources FROM documents d
+  JOIN embeddings e ON e.vec_id = d.doc_id AND e.vec_id % 100 = 0 LEFT JOIN found ON found.query_id = d.doc_id)
+  SELECT query_id, concat('Summary ', {_MARK}, '.') AS summary, sources FROM asked""")
+def ask_with_rag(spark, sf_dir):
+    """Every hundredth document as a question: retrieval, prompt and reply; the reply's summary and the sources."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    chunks = d.select(F.col("doc_id").alias("vec_id"), "text", F.col("lang").alias("category"), F.col("source").alias("filename"))
+    own = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    questions = own.join(d.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    out = ask.answered(questions, e, chunks)
+    return out.select("query_id", section(F.col("reply"), "EXECUTIVE_SUMMARY").alias("summary"), F.array_join("sources", ", ").alias("sources"))
+
+
+@query("vectors_replaced", "SELECT vec_id, label, 'a' AS namespace FROM embeddings WHERE label % 2 = 0 UNION ALL SELECT vec_id, label, 'b' FROM embeddings")
+def vectors_replaced(spark, sf_dir):
+    """Two namespaces of a table, of which the first is replaced by fewer rows with fewer labels."""
+    path, e = new_path(spark, "vectors"), table(spark, sf_dir, "embeddings").withColumn("category", F.col("label").cast("string"))
+    write_vectors(e, path, "a")
+    write_vectors(e, path, "b")
+    write_vectors(e.filter("label % 2 = 0"), path, "a")
+    return read_vectors(spark, path, "a").withColumn("namespace", F.lit("a")).union(read_vectors(spark, path, "b").withColumn("namespace", F.lit("b"))).select("vec_id", "label", "namespace")
+
+
 @query("lexical_topk")
 def lexical_topk(spark, sf_dir):
     """The documents nearest to each benchmark text by hashed words."""
@@ -167,7 +198,12 @@ def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html_escaped(F.col("html")).alias("escaped"))
 
 
-@query("section_extract")
+_FIGURES = "concat('Multipliers: ', printf('%.1f', mult_total), '%. Effort: ', printf('%.1f', final_min), ' to ', printf('%.1f', final_max), ' person-days. Confidence: ', label, '. Capacity gap: ', printf('%.1f', gap), ' days.')"
+_ASKED = f"concat('Explain this estimate.', chr(10), rtrim({SUMMARY_SQL}), chr(10), {_FIGURES}, chr(10), 'Write EXECUTIVE_SUMMARY:, ASSUMPTIONS: and RECOMMENDATIONS:.')"
+
+
+@query("section_extract", f"""{ESTIMATES} SELECT project_id, concat('Summary ', substring(sha256({_ASKED}), 1, 8), '.') AS executive_summary, '- Team stays as it is' AS assumptions,
+  concat('- Start early', chr(10), '| R01 | Risk ', substring(sha256({_ASKED}), 1, 8), ' | High | Medium | High |') AS recommendations FROM est""")
 def section_extract(spark, sf_dir):
     """Sections of generated narratives, with defaults for those that lack them."""
     asked = estimate.estimated(projects(spark, sf_dir)).withColumn("prompt", prompts.narrative_prompt())

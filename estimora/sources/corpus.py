@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import quote, unquote
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Suffixes that have a loader, and the category of a folder name (fixed values).
 TEXT_SUFFIXES = ("md", "txt")
@@ -18,10 +24,28 @@ def category_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("General"))
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """All files under `root`: source (path below it), filename, suffix, category and content; files
-    whose name begins with a dot are none of them."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+@F.pandas_udf(T.BooleanType())
+def _linked(paths: pd.Series, root: pd.Series) -> pd.Series:
+    """Whether a local path below the root is a symbolic link, or goes through one."""
+
+    def linked(path: str, top: str) -> bool:
+        while len(path) > len(top):
+            if os.path.islink(path):
+                return True
+            path = os.path.dirname(path)
+        return False
+
+    plain = lambda x: "/" + unquote(x.removeprefix("file:")).strip("/")
+    return pd.Series([p.startswith("file:") and linked(plain(p), plain(r)) for p, r in zip(paths, root, strict=True)], dtype=bool)
+
+
+def files(spark: SparkSession, root: str, suffixes=TEXT_SUFFIXES + ("pdf",)) -> DataFrame:
+    """All files under `root` with these suffixes: source (path below it), filename, suffix, category
+    and content. Files whose name begins with a dot and symbolic links are none of them; the content
+    of other files isn't read."""
+    named = ",".join("*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{named}}}").load(root)
+    raw = raw.filter(~_linked("path", F.lit(root)))
     base = root.rstrip("/").split("://")[-1]
     source = F.regexp_replace("path", r"^.*?" + "".join(f"\\{c}" if not c.isalnum() and c != "/" else c for c in base) + "/", "")
     name = F.element_at(F.split("path", "/"), -1)
@@ -41,12 +65,15 @@ def documents(spark: SparkSession, root: str, pdf_pages=None) -> tuple[DataFrame
         pages = found.filter("suffix = 'pdf'").withColumn("text", F.lit(None).cast("string"))
     else:
 
-        @F.udf("array<string>")
-        def split(content):
-            try:
-                return pdf_pages(bytes(content))
-            except Exception:  # noqa: BLE001  a file that can't be read is listed as skipped
-                return None
+        @F.pandas_udf("array<string>")
+        def split(contents: pd.Series) -> pd.Series:
+            def pages_of(content):
+                try:
+                    return pdf_pages(bytes(content))
+                except Exception:  # noqa: BLE001  a file that can't be read is listed as skipped
+                    return None
+
+            return contents.map(pages_of)
 
         pages = found.filter("suffix = 'pdf'").withColumn("text", F.explode_outer(split("content")))
     every = text.unionByName(pages).drop("content", "suffix")
@@ -60,14 +87,19 @@ def vector_table(chunks: DataFrame) -> DataFrame:
 
 
 def write_vectors(vectors: DataFrame, path: str, namespace: str = "knowledge-base") -> None:
-    """Replace a namespace of the table at `path` with these rows; other namespaces stay."""
-    out = vectors.withColumn("namespace", F.lit(namespace))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace", "category").parquet(path)
+    """Replace a namespace of the table at `path` with these rows, be they none; other namespaces stay."""
+    vectors.drop("namespace").write.mode("overwrite").parquet(f"{path}/namespace={quote(namespace, safe='')}")
 
 
 def read_vectors(spark: SparkSession, path: str, namespace: str = "knowledge-base") -> DataFrame:
     """The rows of a namespace; an empty one is an error, as nothing could be found in it."""
-    found = spark.read.parquet(path).filter(F.col("namespace") == namespace).drop("namespace")
+    folder = f"{path}/namespace={quote(namespace, safe='')}"
+    try:
+        found = spark.read.parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise ValueError(f"no vectors in namespace {namespace}; ingest documents first") from None
     if not found.limit(1).count():
         raise ValueError(f"no vectors in namespace {namespace}; ingest documents first")
     return found
@@ -84,8 +116,6 @@ def upserted(vectors: DataFrame, send, batch: int = 100) -> DataFrame:
             for k in range(0, len(rows), batch):
                 put(rows[k : k + batch])
             n += len(rows)
-        import pandas as pd
-
         yield pd.DataFrame({"n": [n]})
 
     return vectors.mapInPandas(run, "n long")

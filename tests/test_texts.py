@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from estimora.functions.text import safe_name, section, without_front_matter
-from estimora.operators import chunking, embedding, feedback, generation, prompts, report, retrieval, validation
+from estimora.operators import ask, chunking, embedding, feedback, generation, prompts, report, retrieval, validation
+from estimora.plans import catalog
 from estimora.sources import corpus
 from estimora.streaming import ingest
 
@@ -97,6 +98,10 @@ def test_files_and_vectors(spark, tmp_path):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
     (root / "other/bad.txt").write_bytes(b"\xff\xfe\xff")
+    (root / "other/link.md").symlink_to(root / "standards/a.md")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/h.md").write_text("H")
+    (root / "linked").symlink_to(tmp_path / "out")
     docs, skipped = corpus.documents(spark, str(root))
     assert {(r["source"], r["category"], r["text"]) for r in docs.collect()} == {("standards/a.md", "Standard", "# A"), ("articles/x/b.TXT", "Article", "B"), ("other/c.md", "General", "C")}
     assert {r["filename"] for r in skipped.collect()} == {"f.pdf", "bad.txt"}
@@ -107,8 +112,17 @@ def test_files_and_vectors(spark, tmp_path):
     for _ in range(2):  # again replaces
         corpus.write_vectors(vectors, str(tmp_path / "v"))
     assert corpus.read_vectors(spark, str(tmp_path / "v")).count() == 3
+    for name in ("other", "a/b"):
+        with pytest.raises(ValueError):
+            corpus.read_vectors(spark, str(tmp_path / "v"), name)
+    corpus.write_vectors(vectors.limit(1), str(tmp_path / "v"), "a/b")
+    assert corpus.read_vectors(spark, str(tmp_path / "v"), "a/b").count() == 1
+    found = sorted(ask.sanity_check(vectors, "b").collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in found] == [1, 2, 3] and found[0]["score"] == pytest.approx(1) and not ask.sanity_check(vectors.limit(0)).count()
+    corpus.write_vectors(vectors.limit(0), str(tmp_path / "v"))
     with pytest.raises(ValueError):
-        corpus.read_vectors(spark, str(tmp_path / "v"), "other")
+        corpus.read_vectors(spark, str(tmp_path / "v"))
+    assert corpus.read_vectors(spark, str(tmp_path / "v"), "a/b").count() == 1
     assert corpus.upserted(vectors.select("id"), lambda: lambda rows: None).agg(F.sum("n")).first()[0] == 3
 
 
@@ -119,6 +133,62 @@ def test_retrieval(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     found = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.top_k(vectors.filter("vec_id IN (0, 7)").selectExpr("vec_id AS query_id", "embedding AS query"), vectors, 3).collect()}
     assert found[0, 1] == 0 and found[0, 2] == 60 and found[7, 1] == 7 and len(found) == 6
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, [float("nan")] * 8), (3, [None] * 8), (4, [0.0] * 8), (5, None), (6, [])], "query_id long, query array<float>")
+    assert not retrieval.top_k(odd, vectors, 3).count() and not retrieval.top_k(odd.limit(0), vectors, 3).count() and not retrieval.top_k(odd, vectors.limit(0), 3).count()
+
+
+@pytest.mark.parametrize("shape, k", [((5, 30), 4), ((3, 2), 4), ((0, 5), 2), ((4, 0), 2), ((6, 9), 9)])
+def test_best(shape, k):
+    scores = np.random.default_rng(4).integers(0, 4, shape).astype(float)
+    expected = [(i, j) for i in range(shape[0]) for j in sorted(range(shape[1]), key=lambda j: (-scores[i, j], j))[:k]]
+    assert list(zip(*map(np.ndarray.tolist, retrieval.best(scores, k)))) == expected
+
+
+def test_top_k_by_force(spark, monkeypatch):
+    """In blocks of every size."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 6)).round(0)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    unit = [v / np.linalg.norm(v) if v.any() else None for v in x]
+    for block, held, scores in ((1024, 32_000_000, 4_000_000), (7, 500, 100)):
+        for name, value in (("BLOCK_QUERIES", block), ("HELD_BYTES", held), ("SCORES_AT_ONCE", scores)):
+            monkeypatch.setattr(retrieval, name, value)
+        found = retrieval.top_k(vectors.selectExpr("vec_id AS query_id", "embedding AS query"), vectors, 3).collect()
+        assert len(found) == 3 * sum(u is not None for u in unit)
+        for r in found:
+            scores = sorted((round(-unit[r["query_id"]] @ u, 9) for u in unit if u is not None))
+            assert round(-r["score"], 9) == scores[r["rank"] - 1]
+
+
+def test_lexical_vectors(spark):
+    """Hashed words by an own murmur3, and the nearest documents by brute force."""
+
+    def bucket(word):
+        data, h, mask = word.encode(), 42, 0xFFFFFFFF
+        turn = lambda v, n: ((v << n) | (v >> (32 - n))) & mask
+        whole = len(data) // 4 * 4
+        for a in range(0, whole, 4):
+            h = (turn(h ^ turn(int.from_bytes(data[a : a + 4], "little") * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask, 13) * 5 + 0xE6546B64) & mask
+        left = turn(int.from_bytes(data[whole:], "little") * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        h ^= left
+        h ^= len(data)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> shift)) * factor & mask
+        h ^= h >> 16
+        return (h - (1 << 32) if h >> 31 else h) % 384
+
+    def vector(text):
+        v = np.zeros(384)
+        for word in re.split(r"[ \t\n\x0b\f\r]", text.lower()):
+            v[bucket(word)] += 1
+        return v / np.linalg.norm(v)
+
+    d = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: vector(r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    items = {r["item_id"]: vector(r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    for r in catalog.QUERIES["lexical_topk"](spark, d).filter("query_id % 7 = 0").collect():
+        scores = sorted((items[r["query_id"]] @ v for v in docs.values()), reverse=True)
+        assert r["score"] == pytest.approx(items[r["query_id"]] @ docs[r["vec_id"]], abs=2e-6) and r["score"] == pytest.approx(scores[r["rank"] - 1], abs=2e-6)
     hits = spark.createDataFrame([(1, 2, "t2", None, None), (1, 1, "t1", "Standard", "a.md")], "query_id long, rank int, text string, category string, filename string")
     r = retrieval.context(hits).first()
     assert r["context"] == "[Source 1 — Standard: a.md]\nt1\n\n---\n\n[Source 2 — General: Unknown]\nt2"
@@ -140,6 +210,24 @@ def test_generation_falls_back(spark):
     assert generation.generated(rows, "p", [lambda: lambda p: None]).first()["reply"] == ""
 
 
+def test_blank_strategy_is_an_error(spark):
+    """A provider that says nothing leaves the estimate, and an error for the strategy."""
+    from estimora.plans.generation import documents_of
+    from estimora.sources.projects import projects
+
+    docs = spark.createDataFrame([(1, "risk based testing", "s")], "doc_id long, text string, source string")
+    found = {r["document_type"]: r for r in documents_of(projects(spark, "/root/testdata/sf0.001").limit(1), docs, [lambda: lambda p: " \n"]).collect()}
+    assert len(found) == 4 and found["test_strategy"]["body"] == "" and found["test_strategy"]["error"].startswith("empty test strategy for Project")
+    assert found["effort_estimation"]["body"].startswith("# Effort") and found["effort_estimation"]["error"] is None
+
+
+def test_document_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a.md", "A"), ("b.md", "B é"), ("b.md", "B"), ("c.md", None), (None, "x")], "file_name string, body string")
+    for body in ("old", "new"):
+        assert report.write_documents(rows.selectExpr("file_name", f"concat(body, ' {body}') AS body"), str(tmp_path / "out")).agg(F.sum("n_files")).first()[0] == 2
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a.md": "A new", "b.md": "B é new"}
+
+
 def test_documents(spark):
     at = F.to_timestamp(F.lit("2026-02-23 12:00:00"))
     assert one(spark, report.file_name("test_strategy", F.lit("Sample Project"), at)) == "test_strategy_Sample_Project_20260223_120000.md"
