@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from estimora.sources.shared import file_system, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one is made only for a local master without one (tests)."""
-    context = spark.sparkContext
-    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="estimora-"))
-        found = context.getCheckpointDir()
-    return found
+__all__ = ["bounded", "dropped", "file_system", "joined_by_id", "new_path", "saved", "scope", "shared_dir"]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Tables that saved() writes within are deleted at the end, but for those taken off the list."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+        for df in made:
+            dropped(df)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +37,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
@@ -58,17 +64,6 @@ def bounded(texts: DataFrame) -> DataFrame:
     return texts
 
 
-def file_system(path: str):
-    """The Arrow file system of a folder, and the path in it: local folders, HDFS and object stores alike."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
 #: Ids that are sent to all executors at most, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 

@@ -39,11 +39,12 @@ def vectors_by_force(rows):
     return sorted((rows[k][0], len(links[k]), label[k], rows[k][0] == label[k]) for k in links)
 
 
-@pytest.mark.parametrize("cell, block", [(2000, 2000), (8, 5)])
-def test_near_vectors(spark, monkeypatch, cell, block):
+@pytest.mark.parametrize("cell, block, most", [(2000, 2000, 4096), (8, 5, 4096), (8, 3, 6), (30, 4, 4096)])
+def test_near_vectors(spark, monkeypatch, cell, block, most):
     """Also with cells and blocks so small that there are many of them."""
     monkeypatch.setattr(near_vectors, "CELL_ROWS", cell)
     monkeypatch.setattr(near_vectors, "BLOCK_ROWS", block)
+    monkeypatch.setattr(near_vectors, "MOST_PIVOTS", most)
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(12, 6))
     rows = [(k, (centers[k % 12] + rng.normal(size=6) * 0.25).astype("f4").tolist(), k % 3) for k in range(150)]
@@ -52,6 +53,8 @@ def test_near_vectors(spark, monkeypatch, cell, block):
     found = sorted(tuple(r) for r in near_vectors.near_classes(table).collect())
     assert found == vectors_by_force(rows)
     assert near_vectors.near_classes(table.limit(0)).count() == 0
+    nameless = near_vectors.near_classes(table.selectExpr("CASE WHEN vec_id > 203 THEN vec_id END AS vec_id", "embedding", "label")).filter("vec_id IS NULL OR vec_id = 204").collect()
+    assert {tuple(r) for r in nameless} == {(None, 0, None, False), (204, 4, 204, True)}
 
 
 PAGES = [(1, "http://a.b/1", "x" * 150), (2, "http://a.b/2", "x" * 150), (3, None, "x" * 150), (4, "http://a.b/4", None), (5, "bad url \n x", ""), (6, "http://a.b/6", "short"), (7, "http://a.b/7", "short"), (8, "http://c/8", "é" * 60), (9, "http://c/9", "é" * 60), (10, "http://c/10", "<p>" + "long " * 600_000)]
