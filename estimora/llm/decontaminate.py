@@ -15,16 +15,23 @@ keeps such a run whole (an item of L words and k <= L/5 edits is cut into k+1 ru
 has at least 3 words once L >= 6; shorter items are sought by shorter runs), so this leaves out
 no window that verification would accept.
 
-The number of rounds follows from the recall asked for: items are edited at random up to the
-limit, their embeddings are compared, and the rounds are what the agreement seen needs.
-
-Defined results: null and empty texts and items hold nothing; equal items are all reported;
-repeated documents are reported each; an empty table on either side gives no rows. Other columns
-are ignored.
+The number of rounds follows from the recall asked for, for each length of items: items are
+edited at random up to the limit, their embeddings are compared, and the rounds are what the
+agreement seen needs. Lengths that would need more than MOST_ROUNDS are verified at every window.
+
+The benchmark is dealt into parts of a bounded size, prepared by tasks and written to the shared
+folder, from where the tasks that hold documents read them part by part: the corpus is read once,
+and the driver holds neither side.
+
+Defined results: null and empty texts and items hold nothing, and so do items without an id; equal
+items are all reported; repeated documents are reported each, those without an id under null; of
+places of equal distance the first is reported; texts of any length are searched whole; an empty
+table on either side gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,15 +39,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from estimora.llm.arrays import constants, grams, mixed, row_chunks, text_bytes, words
-from estimora.llm.shared import bounded
+from estimora.llm.shared import bounded, file_system, new_path
 
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, distance long, similarity double"
 #: Words of a seed, embeddings (of independent walks) and places that a round samples.
 SEED, WALKS, PLACES = 3, 4, 2
-#: Benchmark rows that are sent to all executors at once; a larger benchmark is taken in parts.
-ITEMS_AT_ONCE = 20_000
+#: Rounds at most, beyond which every window is verified, and items of a length that are edited to know.
+MOST_ROUNDS, TRIED = 160, 30
+#: Benchmark rows of a part (about), and bytes of texts that a task holds while it goes through the parts.
+ITEMS_AT_ONCE, HELD_BYTES = 20_000, 8_000_000
 
 
 def edit_distance(item: np.ndarray, text: np.ndarray, limit: int) -> int:
@@ -79,8 +89,9 @@ class Items:
     limits: list[int]
     least: np.ndarray
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    samples: dict[int, list[dict[int, list[int]]]]
+    samples: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # by length and round: sorted, with the item of each
     places: dict[int, np.ndarray]
+    exact: set[int]  # lengths without rounds
 
 
 def sampled(embedded: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -91,10 +102,10 @@ def sampled(embedded: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def rounds_for(texts: list[np.ndarray], share: float, recall: float, most: int = 160) -> int:
+def rounds_for(texts: list[np.ndarray], share: float, recall: float) -> int:
     """Rounds that find `recall` of the items that are edited at random up to the limit."""
     rng, agree = np.random.default_rng(3), []
-    for text in [texts[k] for k in rng.permutation(len(texts))[:100]]:
+    for text in [texts[k] for k in np.resize(rng.permutation(len(texts)), TRIED)] if texts else []:
         n = len(text)
         edited = list(text)
         for _ in range(int(share * n)):
@@ -108,7 +119,7 @@ def rounds_for(texts: list[np.ndarray], share: float, recall: float, most: int =
         agree += [np.mean(np.equal(*embed(two, n, w))) for w in range(WALKS)]
     low = float(np.quantile(agree, 0.05)) if agree else 1.0
     once = min(max(low**PLACES, 1e-6), 1 - 1e-9)
-    return int(min(most, max(4, np.ceil(np.log(1 - recall) / np.log(1 - once)))))
+    return int(max(4, np.ceil(np.log(1 - recall) / np.log(1 - once))))
 
 
 def prepared(ids: list[int], texts: list[str], share: float, recall: float) -> Items:
@@ -128,20 +139,23 @@ def prepared(ids: list[int], texts: list[str], share: float, recall: float) -> I
     for size, found in by_size.items():
         found.sort()
         seeds[size] = tuple(np.array(x, t) for x, t in zip(zip(*found, strict=True), (np.uint64, np.int64, np.int64), strict=True))
-    rounds = rounds_for(parts, share, recall)
-    samples: dict[int, list[dict[int, list[int]]]] = {}
+    samples: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     places: dict[int, np.ndarray] = {}
+    exact: set[int] = set()
     for n in sorted({len(t) for t in parts}):
         own = [k for k, t in enumerate(parts) if len(t) == n]
+        rounds = rounds_for([parts[k] for k in own], share, recall)
+        if rounds > MOST_ROUNDS:
+            exact.add(n)
+            continue
         places[n] = np.random.default_rng(n).integers(0, 3 * n, (rounds, PLACES))
         whole = [embed(np.array([parts[k] for k in own]), n, w) for w in range(WALKS)]
         samples[n] = []
         for r in range(rounds):
-            table: dict[int, list[int]] = defaultdict(list)
-            for k, s in zip(own, sampled(whole[r % WALKS], places[n][r]).tolist(), strict=True):
-                table[s].append(k)
-            samples[n].append(dict(table))
-    return Items(ids, parts, limits, least, seeds, samples, places)
+            values = sampled(whole[r % WALKS], places[n][r])
+            order = np.argsort(values, kind="stable")
+            samples[n].append((values[order], np.array(own)[order]))
+    return Items(ids, parts, limits, least, seeds, samples, places, exact)
 
 
 def crowded(row: np.ndarray, item: np.ndarray, seed: np.ndarray, least: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -161,7 +175,8 @@ def crowded(row: np.ndarray, item: np.ndarray, seed: np.ndarray, least: np.ndarr
 
 
 def windows_of(items: Items, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(length, first word) of the windows that an item could fill, each once."""
+    """(length, first word, item) of the windows that an item could fill, each once; the item is -1
+    where rounds find it."""
     sizes, found = np.array([len(t) for t in items.texts]), []
     limits = np.array(items.limits)
     for size, (known, item, place) in items.seeds.items():
@@ -174,7 +189,7 @@ def windows_of(items: Items, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray
             where = np.repeat(at[hit], n)
             found.append(np.stack([item[entry], where - place[entry], where], axis=1))
     if not found:
-        return np.zeros((0, 2), np.int64)
+        return np.zeros((0, 3), np.int64)
     k, start, seed = np.unique(np.concatenate(found), axis=0).T
     dense = crowded(rows[seed], k, seed, items.least[k], sizes[k])
     k, start, seed = k[dense], start[dense], seed[dense]
@@ -187,7 +202,24 @@ def windows_of(items: Items, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray
     first = np.searchsorted(rows, row)
     start = np.maximum(start, first)
     own = start < np.searchsorted(rows, row, "right")  # others would begin in the next row
-    return np.unique(np.stack([length[own], start[own]], axis=1), axis=0)
+    item = np.where(np.isin(length, list(items.exact)), k[each], -1)
+    return np.unique(np.stack([length[own], start[own], item[own]], axis=1), axis=0)
+
+
+def candidates(items: Items, n: int, starts: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> set[tuple[int, int]]:
+    """(window, item) of windows of n words that agree with an item in all places of a round."""
+    at = starts[:, None] + np.arange(n)
+    inside = at < len(hashes)
+    at = np.minimum(at, len(hashes) - 1)
+    windows = np.where(inside & (rows[at] == rows[starts][:, None]), hashes[at], np.uint64(0))
+    pairs: set[tuple[int, int]] = set()
+    walked = [embed(windows, n, w) for w in range(WALKS)]
+    for r, (values, item) in enumerate(items.samples[n]):
+        found = sampled(walked[r % WALKS], items.places[n][r])
+        low, high = np.searchsorted(values, found, "left"), np.searchsorted(values, found, "right")
+        for j in np.flatnonzero(high > low).tolist():
+            pairs.update((j, k) for k in item[low[j] : high[j]].tolist())
+    return pairs
 
 
 def found_in(items: Items, hashes: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -196,19 +228,10 @@ def found_in(items: Items, hashes: np.ndarray, rows: np.ndarray) -> list[tuple[i
     seen: dict[tuple[int, int], list[int]] = defaultdict(list)
     todo = windows_of(items, hashes, rows)
     for n in np.unique(todo[:, 0]).tolist():
-        starts = todo[todo[:, 0] == n, 1]
+        starts, wanted = todo[todo[:, 0] == n, 1], todo[todo[:, 0] == n, 2]
         for a in range(0, len(starts), 20_000):
             some = starts[a : a + 20_000]
-            at = some[:, None] + np.arange(n)
-            inside = at < len(hashes)
-            at = np.minimum(at, len(hashes) - 1)
-            windows = np.where(inside & (rows[at] == rows[some][:, None]), hashes[at], np.uint64(0))
-            pairs: set[tuple[int, int]] = set()
-            walked = [embed(windows, n, w) for w in range(WALKS)]
-            for r, table in enumerate(items.samples[n]):
-                for j, s in enumerate(sampled(walked[r % WALKS], items.places[n][r]).tolist()):
-                    if s in table:
-                        pairs.update((j, k) for k in table[s])
+            pairs = candidates(items, n, some, hashes, rows) if n not in items.exact else enumerate(wanted[a : a + 20_000].tolist())
             for j, k in sorted(pairs):
                 start, limit = int(some[j]), items.limits[k]
                 key = (int(rows[start]), k)
@@ -226,29 +249,71 @@ def found_in(items: Items, hashes: np.ndarray, rows: np.ndarray) -> list[tuple[i
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.2, recall: float = 0.99) -> DataFrame:
     """A row for each document of docs(doc_id, text) that holds an item of benchmark(item_id, text)
     with edits of max_share of its words at most: where about, and how many edits."""
-    spark = docs.sparkSession
-    rows = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").filter("text IS NOT NULL AND item_id IS NOT NULL").toLocalIterator()]
-    out = None
-    for a in range(0, max(1, len(rows)), ITEMS_AT_ONCE):
-        part = rows[a : a + ITEMS_AT_ONCE]
-        shared = spark.sparkContext.broadcast(prepared([i for i, _ in part], [t for _, t in part], max_share, recall))
-        found = bounded(docs).select("doc_id", "text").mapInArrow(_searcher(shared), SCHEMA)
-        out = found if out is None else out.union(found)
-    return out
+    folder = new_path(docs.sparkSession, "benchmark")
+    known = benchmark.select("item_id", "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
+    parts = -(-known.count() // ITEMS_AT_ONCE)
+
+    def prepare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("item_id", "ascending"), ("text", "ascending")])
+        items = prepared(table.column("item_id").to_pylist(), table.column("text").to_pylist(), max_share, recall)
+        return pa.table({"data": pa.array([pickle.dumps(items)], pa.binary())})
+
+    dealt = known.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(max(1, parts))))
+    dealt.groupBy("part").applyInArrow(prepare, "data binary").write.parquet(folder)
+    return bounded(docs).select("doc_id", "text").mapInArrow(_searcher(folder), SCHEMA)
+
+
+_last: dict[str, Items] = {}
+
+
+def read_parts(folder: str) -> Iterator[Items]:
+    """The parts of a prepared benchmark; a worker keeps the last one that it read."""
+    from pyarrow import fs, parquet
+
+    store, base = file_system(folder)
+    for f in sorted(store.get_file_info(fs.FileSelector(base)), key=lambda f: f.path):
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as file:
+                whole = parquet.ParquetFile(file)
+                for k in range(whole.num_row_groups):
+                    for n in range(whole.metadata.row_group(k).num_rows):
+                        key = f"{f.path}/{k}/{n}"
+                        if key not in _last:
+                            data = whole.read_row_group(k).column("data")[n].as_py()
+                            _last.clear()
+                            _last[key] = pickle.loads(data)
+                        yield _last[key]
+
+
+def held(chunks: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    some, size = [], 0
+    for chunk in chunks:
+        some.append(chunk)
+        size += chunk.nbytes
+        if size >= HELD_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
 
+def _searcher(folder: str):
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int64()), ("similarity", pa.float64())])
 
-def _searcher(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        for chunk in row_chunks(batches, "text"):
-            hashes, rows, _, _ = words(*text_bytes(chunk.column("text")), "letters")
-            if not len(hashes) or not items.ids:
-                continue
-            firsts, ids = np.searchsorted(rows, np.arange(chunk.num_rows)), chunk.column("doc_id").to_pylist()
-            found = found_in(items, hashes, rows)
-            yield pa.RecordBatch.from_pylist(
-                [{"doc_id": ids[row], "item_id": items.ids[k], "start_word": int(start - firsts[row]), "n_words": len(items.texts[k]), "distance": d, "similarity": 1 - d / len(items.texts[k])} for row, k, start, d in found],
-                pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int64()), ("similarity", pa.float64())]),
-            )
+        for some in held(row_chunks(batches, "text")):
+            texts = [(chunk, *words(*text_bytes(chunk.column("text")), "letters")[:2]) for chunk in some]
+            for items in read_parts(folder):
+                for chunk, hashes, rows in texts:
+                    if not len(hashes) or not items.ids:
+                        continue
+                    firsts, ids = np.searchsorted(rows, np.arange(chunk.num_rows)), chunk.column("doc_id").to_pylist()
+                    yield pa.RecordBatch.from_pylist(
+                        [
+                            {"doc_id": ids[row], "item_id": items.ids[k], "start_word": int(start - firsts[row]), "n_words": len(items.texts[k]), "distance": d, "similarity": 1 - d / len(items.texts[k])}
+                            for row, k, start, d in found_in(items, hashes, rows)
+                        ],
+                        schema,
+                    )
 
     return run

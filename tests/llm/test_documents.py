@@ -210,6 +210,35 @@ def test_decontamination(spark, odd, none):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, short).collect()} == {(4, 1), (4, 4), (5, 1), (5, 4)}
 
 
+@pytest.mark.parametrize("part, most", [(20_000, 160), (7, 160), (20_000, 4)])
+def test_decontamination_by_force(spark, monkeypatch, part, most):
+    """All items of many lengths with edits up to the limit of a fifth of their words, in one part and
+    in several, by rounds and, with hardly any, by verifying every window."""
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", part)
+    monkeypatch.setattr(decontaminate, "MOST_ROUNDS", most)
+    rng, rows = np.random.default_rng(6), []
+    items = [(k, " ".join(f"v{rng.integers(400)}" for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 6, 7, 8, 9, 10, 12, 15, 20, 25, 33, 50, 80, 120, 200])]
+    for k in range(160):
+        w = items[k % len(items)][1].split()
+        for _ in range(int(0.2 * len(w))):
+            at, kind = int(rng.integers(len(w))), int(rng.integers(3))
+            w[at : at + (kind != 1)] = [f"zz{rng.integers(99)}"] if kind < 2 else []
+        rows.append((k, " ".join([*(f"v{rng.integers(400)}" for _ in range(30)), *w, *(f"u{rng.integers(99)}" for _ in range(9))])))
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    number: dict = {}
+    coded = lambda text: np.array([number.setdefault(w, len(number)) for w in text.split()], np.uint64)
+    true = {}
+    for i, text in rows:
+        for j, item in items:
+            limit = int(0.2 * len(item.split()))
+            if (d := decontaminate.edit_distance(coded(item), coded(text), limit)) <= limit:
+                true[i, j] = d
+    print("recall", len(found), len(true))
+    assert set(found) <= set(true) and len(found) >= 0.99 * len(true)
+    if most < 160:
+        assert found == true
+
+
 @given(st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9))
 @settings(max_examples=200, deadline=None)
 def test_edit_distance(a, b):
