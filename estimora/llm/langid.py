@@ -169,18 +169,18 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return learned(x, order, [langs[k] for k in order])
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score, which take the place of columns so named."""
-    docs = docs.drop("lang_pred", "score")
+def predicted(docs: DataFrame, model: Model, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the predicted language and its score, which take the place of columns so named."""
+    docs = docs.drop(lang_pred, score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in row_chunks(batches, "text", rows=500):
             found = [bool(model.langs) and any(map(str.isalpha, t or "")) for t in chunk.column("text").to_pylist()]
-            lang, score = decided(model, features(chunk.column("text"))) if model.langs else (np.zeros(chunk.num_rows, int), np.zeros(chunk.num_rows))
+            lang, sure = decided(model, features(chunk.column("text"))) if model.langs else (np.zeros(chunk.num_rows, int), np.zeros(chunk.num_rows))
             names = [model.langs[k] if ok else "und" for k, ok in zip(lang, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(names, pa.string()), pa.array(np.where(found, score, 0.0))], [*chunk.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(names, pa.string()), pa.array(np.where(found, sure, 0.0))], [*chunk.schema.names, lang_pred, score])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
     return bounded(docs).mapInArrow(run, schema)
 
 

@@ -11,7 +11,9 @@ The base patterns are exact and their spans always stay; a labelled mention adds
 where it overlaps none of them. Potentials are learned from a bounded sample of documents.
 
 Defined results: a null text is an empty one and has no spans; repeated rows have equal results;
-an empty table gives no rows. Other columns are ignored.
+of equal labels the first kind wins; texts of any length are read whole, and messages of a
+document with very many mentions pass in tables that grow as its mentions do; an empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 #: Documents with mentions to learn the potentials from at most, and rounds of message passing.
 SAMPLE_DOCS, ROUNDS = 2000, 12
+#: Links whose messages are computed at once.
+LINKS_AT_ONCE = 50_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -212,10 +216,11 @@ def labelled(found: list[Mention], field: Field) -> np.ndarray:
             unary[k, m.label + 1] = 0
     chain, skip = links(found)
     pairs = np.concatenate([chain, skip])
-    tables = np.concatenate([np.repeat(field.chain[None], len(chain), 0), np.repeat(field.skip[None], len(skip), 0)])
     source = np.concatenate([pairs[:, 0], pairs[:, 1]])
     target = np.concatenate([pairs[:, 1], pairs[:, 0]])
-    tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
+    # one table for each kind of link and direction, not for each link
+    tables = np.stack([field.chain, field.skip, field.chain.T, field.skip.T])
+    kind = np.repeat([0, 1, 2, 3], [len(chain), len(skip), len(chain), len(skip)])
     back = np.concatenate([np.arange(len(pairs), 2 * len(pairs)), np.arange(len(pairs))])
     sent = np.zeros((len(source), labels))
 
@@ -225,10 +230,13 @@ def labelled(found: list[Mention], field: Field) -> np.ndarray:
         return total
 
     for _ in range(ROUNDS if len(source) else 0):
-        out = belief()[source] - sent[back]
-        z = out[:, :, None] + tables
-        top = z.max(axis=1)
-        new = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+        known = belief()
+        new = np.empty_like(sent)
+        for at in range(0, len(source), LINKS_AT_ONCE):
+            some = slice(at, at + LINKS_AT_ONCE)
+            z = (known[source[some]] - sent[back[some]])[:, :, None] + tables[kind[some]]
+            top = z.max(axis=1)
+            new[some] = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
         sent = 0.5 * sent + 0.5 * (new - new.max(axis=1, keepdims=True))
     p = np.exp((b := belief()) - b.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)

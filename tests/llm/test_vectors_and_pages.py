@@ -169,6 +169,40 @@ def test_main_text_of_the_tables(spark):
         assert found[r["page_id"]] == "\n\n".join(b for b in blocks if b)
 
 
+def test_stages_on_odd_tables(spark):
+    """Null and repeated ids, repeated rows, columns with the names of internal ones, and no rows at all."""
+    import corpus_pipeline as p
+
+    d = "/root/testdata/sf0.001"
+    item = next(r["text"] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect() if r["text"])
+    story = lambda k: " ".join(f"word{k}x{chr(97 + j % 26)}{j}" for j in range(30))
+    rows = [
+        (1, story(1)), (1, story(1)), (1, story(2)), (2, story(2) + " more"), (None, story(1)), (None, story(3)), (None, story(3)), (5, story(3) + " end"), (7, story(7)),
+        (None, f"{story(8)} {item} {story(9)}"), (9, f"{story(10)} {item} {story(11)}"), (10, ""), (11, None), (12, None), (None, "12 !"), (13, f"{story(12)} mail me at a.b@c.de"), (None, f"{story(13)} at a.b@c.de"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, row_key string, component_id long, extra map<string,int>"
+    docs = spark.createDataFrame([(i, t, "en", "s", k, 0.25, "x", "y", -1, {"a": k}) for k, (i, t) in enumerate(rows)], schema)
+    plain = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    stages = dict(p.STAGES)
+    left = stages["language"](spark, docs, d)
+    assert plain(left) == sorted((r for r in rows if r[1] not in ("", None, "12 !")), key=str)
+    assert {(r["score"], r["lang_pred"], r["row_key"], r["component_id"]) for r in left.collect()} == {(0.25, "x", "y", -1)}
+    once = stages["near_duplicates"](spark, docs, d)
+    # one of each class: of story 1 and 3 the row with the smallest id, of story 2 the row of id 1
+    gone = [(1, story(1)), (None, story(1)), (2, story(2) + " more"), (None, story(3)), (None, story(3))]
+    expected = list(rows)
+    for r in gone:
+        expected.remove(r)
+    assert plain(once) == sorted(expected, key=str) and once.columns == docs.columns
+    assert sorted(r["n_chars"] for r in once.collect() if r["text"] == story(1)) == [0]
+    assert plain(stages["decontamination"](spark, docs, d)) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+    masked = stages["personal_data"](spark, docs, d)
+    assert sum("[EMAIL]" in (t or "") for _, t in plain(masked)) == 2 and masked.columns == docs.columns
+    assert stages["token_ids"](spark, docs, d).count() == len(rows)
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), d).count() == 0, name
+
+
 def test_pipeline(spark):
     """Each stage keeps and changes what brute force says, and the columns of documents stay."""
     import corpus_pipeline as p
@@ -191,4 +225,12 @@ def test_pipeline(spark):
             field = pii.fit(at)
             assert all(r["text"] == pii.masked(before[r["doc_id"]]["text"], field) and r["n_chars"] == len(r["text"]) for r in after.collect())
         at = spark.createDataFrame(after.collect(), docs.schema)
+    from pathlib import Path
+
+    from estimora.llm.shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
     assert p.run(spark, d).count() == at.count()
+    # but for the table that the result is read from and the prepared benchmark nothing is left
+    assert sorted(f.name.split("-")[0] for f in set(folder.iterdir()) - before) == ["benchmark", "personal_data"]
