@@ -104,7 +104,7 @@ def sampled(embedded: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def rounds_for(texts: list[np.ndarray], share: float, recall: float) -> int:
     """Rounds that find `recall` of the items that are edited at random up to the limit."""
-    rng, agree = np.random.default_rng(3), []
+    rng, pairs = np.random.default_rng(3), []
     for text in [texts[k] for k in np.resize(rng.permutation(len(texts)), TRIED)] if texts else []:
         n = len(text)
         edited = list(text)
@@ -114,10 +114,11 @@ def rounds_for(texts: list[np.ndarray], share: float, recall: float) -> int:
                 edited.insert(at, np.uint64(rng.integers(1 << 62)))
             if kind < 2:
                 edited.pop(at + (kind > 0) if at + (kind > 0) < len(edited) else at)
-        edited = edited[:n] + [np.uint64(0)] * (n - len(edited))
-        two = np.array([text, edited], np.uint64)
-        agree += [np.mean(np.equal(*embed(two, n, w))) for w in range(WALKS)]
-    low = float(np.quantile(agree, 0.05)) if agree else 1.0
+        pairs.append((text, edited[:n] + [np.uint64(0)] * (n - len(edited))))
+    if not pairs:
+        return 4
+    whole, changed = (np.array(side, np.uint64) for side in zip(*pairs, strict=True))
+    low = float(np.quantile([np.mean(embed(whole, n, w) == embed(changed, n, w), axis=1) for w in range(WALKS)], 0.05))
     once = min(max(low**PLACES, 1e-6), 1 - 1e-9)
     return int(max(4, np.ceil(np.log(1 - recall) / np.log(1 - once))))
 
