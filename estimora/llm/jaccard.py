@@ -13,6 +13,12 @@ it meets in each list of the index (the one whose prefix is shared the most, as
 many near copies is, and the next in size), then all pairs left of groups that the first pass put
 into different classes. No pair of different classes that passes the filters is skipped.
 
+Lists of shingles that very many documents hold are split: the count that orders the shingles also
+says, where a prefix is made, in how many parts a list is dealt. Windows run over parts, lists are
+summed up by partial aggregates, and a part meets the others of its list as copies, of about its own
+sizes only. So a task holds about 2**PART_LEVEL entries of a list, or, where tables are so large that
+more than FREQUENT shingles are that common, some millionths of all entries.
+
 Shingles and sets are compared by 64-bit hashes. Defined results: a null or empty text, or one of
 white space alone, has no shingles and its own class; a text with fewer words than a shingle is
 one shingle; repeated rows are equal sets; rows that share an id count as one document; a null id
@@ -21,6 +27,7 @@ has a null class; an empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +43,8 @@ from estimora.llm.shared import bounded, dropped, joined_by_id, saved
 #: Shingles that a task counts at once, and how many of the most frequent ones have a level of their
 #: own in the order (9 bytes each). Any order gives the same classes; a good one has short lists.
 COUNTED_AT_ONCE, FREQUENT = 2_000_000, 1_000_000
+#: Logarithm of the documents from which on the list of a shingle is dealt in parts.
+PART_LEVEL = 15
 #: Words of 64 bits of a group's sketch of its shared prefix shingles: a power of two.
 WORDS = 4
 
@@ -95,8 +104,9 @@ def frequent(docs: DataFrame, size: int, most: int = FREQUENT) -> tuple[np.ndarr
     return hashes[order], top.column("level").to_numpy().astype(np.int8)[order]
 
 
-def prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, n (size of the set), sig (hash of the set), gkey (hash of size and prefix), prefix.
+def prefixes(docs: DataFrame, size: int, num: int, den: int, part_level: int) -> DataFrame:
+    """doc_id, n (size of the set), sig (hash of the set), gkey (hash of size and prefix), prefix, and
+    halvings: for each shingle of the prefix how often its list is halved into parts.
 
     A task gives the prefix of a group once.
     """
@@ -105,27 +115,29 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (common, levels), seen = last.value, set()
         for chunk in row_chunks(batches, "text"):
-            ns, sigs, keys, heads = [], [], [], []
+            ns, sigs, keys, heads, halvings = [], [], [], [], []
             for x in sets(chunk.column("text"), size):
                 n = len(x)
                 with np.errstate(over="ignore"):
                     sig = int(mixed(x * np.uint64(0xD6E8FEB86659FD93)).sum()) if n else 0
-                    ordered = x
+                    level = np.zeros(n, np.int8)
                     if len(common) and n:
                         at = np.minimum(np.searchsorted(common, x), len(common) - 1)
                         level = np.where(common[at] == x, levels[at], 0)
-                        ordered = x[np.argsort(level, kind="stable")]
-                    head = ordered[: n - (num * n + den - 1) // den + 1] if n else x
+                    order = np.argsort(level, kind="stable")[: n - (num * n + den - 1) // den + 1 if n else 0]
+                    head = x[order]
                     key = int(mixed((mixed(head + np.uint64(n)) * np.uint64(3)).sum(keepdims=True))[0]) if n else 0
                 ns.append(n)
                 sigs.append(sig)
                 keys.append(key)
-                heads.append(None if key in seen or not n else head.view(np.int64))
+                known = key in seen or not n
+                heads.append(None if known else head.view(np.int64))
+                halvings.append(None if known else np.maximum(level[order].astype(np.int32) - part_level, 0))
                 if len(seen) < 1_000_000:
                     seen.add(key)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(ns, pa.int32()), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "gkey", "prefix"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(ns, pa.int32()), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(heads, pa.list_(pa.int64())), pa.array(halvings, pa.list_(pa.int32()))], ["doc_id", "n", "sig", "gkey", "prefix", "halvings"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sig long, gkey long, prefix array<long>")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sig long, gkey long, prefix array<long>, halvings array<int>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -147,10 +159,10 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
     return out
 
 
-def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, part_level: int = PART_LEVEL) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs(doc_id, text): documents link where
     den * shared >= num * united of their sets of `size`-word shingles."""
-    every = saved(prefixes(docs, size, num, den), "prefixes")
+    every = saved(prefixes(docs, size, num, den, part_level), "prefixes")
     least = lambda n: F.expr(f"({n} * {num} + {den - 1}) div {den}")
     need = lambda: F.expr(f"((n + n2) * {num} + {num + den - 1}) div {num + den}") - F.greatest(least("n"), least("n2")) + 1
     near = (F.col("n2") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("n2") * num)
@@ -160,16 +172,22 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
     groups = members.groupBy("gkey", "n").agg(F.min("cid").alias("head"))
 
     # the index: lists with more than one group, and for each entry how many lists its group is in
-    whole = W.Window.partitionBy("h")
-    entries = every.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("h"), "gkey", "n").repartition("h")
-    shared = entries.withColumns({"lo": F.min("gkey").over(whole), "hi": F.max("gkey").over(whole)}).filter("lo < hi")
-    shared = saved(shared.select("h", "gkey", "n").dropDuplicates(["h", "gkey"]), "shared")
+    part = W.Window.partitionBy("h", "part")
+    parts = F.expr("shiftleft(1, halved)")  # of a list
+    entries = every.filter("prefix IS NOT NULL").select(F.explode(F.arrays_zip("prefix", "halvings")).alias("e"), "gkey", "n")
+    entries = entries.select(F.col("e.prefix").alias("h"), F.least(F.col("e.halvings"), F.lit(24)).alias("halved"), "gkey", "n")
+    entries = entries.withColumn("part", F.when(F.col("halved") > 0, F.pmod(F.xxhash64("gkey"), parts)).otherwise(0).cast("int")).repartition("h", "part")
+    shared = entries.withColumns({"lo": F.min("gkey").over(part), "hi": F.max("gkey").over(part)}).filter("lo < hi OR halved > 0")
+    shared = saved(shared.select("h", "part", "halved", "gkey", "n").dropDuplicates(["h", "part", "gkey"]), "shared")
     bits = [F.expr(f"bit_or(CASE WHEN (shiftright(h, 6) & {WORDS - 1}) = {j} THEN shiftleft(1L, CAST(h & 63 AS INT)) ELSE 0L END)").alias(f"b{j}") for j in range(WORDS)]
     sketch = saved(shared.groupBy("gkey").agg(F.count("*").cast("int").alias("k"), *bits), "sketch")
     index = shared.join(sketch.select("gkey", "k"), "gkey")
     other = F.struct(F.col("gkey").alias("g2"), F.col("n").alias("n2"), F.col("k").alias("k2"))
-    hub = F.max_by(other, F.struct("k", -F.col("n"), "gkey")).over(whole)
-    index = saved(index.withColumns({"hub": hub, "prior": F.lag(other).over(whole.orderBy("n", "gkey"))}), "index")
+    best = F.max_by(other, F.struct("k", -F.col("n"), "gkey"))
+    # lists in parts are of frequent shingles, so that these are FREQUENT rows at most
+    hubs = index.filter("halved > 0").groupBy("h").agg(best.alias("top"))
+    index = index.withColumns({"own": best.over(part), "prior": F.lag(other).over(part.orderBy("n", "gkey"))})
+    index = saved(index.join(F.broadcast(hubs), "h", "left").withColumn("hub", F.coalesce("top", "own")).drop("own", "top"), "index")
 
     # first pass
     enough = (F.col("k") >= need()) & (F.col("k2") >= need())
@@ -186,14 +204,19 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
     labelled = saved(labelled, "labelled")
     spans = labelled.groupBy("gkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     left = shared.join(sketch, "gkey").join(spans, "gkey")
-    mixed_lists = left.groupBy("h").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).filter("x < y").select("h")
-    left = saved(left.join(mixed_lists, "h", "left_semi"), "left")
-    other = left.select("h", *[F.col(c).alias(c + "2") for c in ("gkey", "n", "k", "lo", "hi", *(f"b{j}" for j in range(WORDS)))])
+    every_part = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+    mixed_lists = left.groupBy("h", "halved").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).filter("x < y").select("h", every_part)
+    # sets of similar sizes are of the same step or of neighbours: a little more than den / num apart
+    left = left.withColumn("step", F.floor(F.log("n") / max(1.001 * math.log(den / num), 0.01)).cast("int"))
+    left = saved(left.join(mixed_lists, ["h", "part"], "left_semi"), "left")
+    other = left.select("h", every_part, "step", *[F.col(c).alias(c + "2") for c in ("gkey", "n", "k", "lo", "hi", *(f"b{j}" for j in range(WORDS)))])
+    other = other.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"))))  # the larger set of a pair
     open_pair = (F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
     # a bit of one sketch that the other lacks is a shingle, at least, that they don't share
     lacking = lambda x, y: sum(F.bit_count(F.col(f"b{j}{x}").bitwiseAND(F.bitwise_not(f"b{j}{y}"))) for j in range(WORDS))
     sharing = (F.col("k") - lacking("", "2") >= need()) & (F.col("k2") - lacking("2", "") >= need())
-    pairs = left.join(other, "h").filter((F.col("gkey") < F.col("gkey2")) & near & enough & sharing & open_pair)
+    after = F.struct("n", "gkey") < F.struct("n2", "gkey2")
+    pairs = left.join(other, ["h", "part", "step"]).filter(after & near & enough & sharing & open_pair)
     pairs = pairs.groupBy("gkey", "gkey2", "n", "n2").agg(F.count("*").alias("met")).filter(F.col("met") >= need()).select("gkey", "gkey2")
     pairs = pairs.union(spans.filter("lo < hi").select("gkey", F.col("gkey").alias("gkey2")))
     mine, theirs = labelled.select("gkey", F.col("cid").alias("a"), F.col("comp").alias("ca")), labelled.select(F.col("gkey").alias("gkey2"), F.col("cid").alias("b"), F.col("comp").alias("cb"))

@@ -114,7 +114,8 @@ def classes_by_force(rows):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-def test_jaccard_classes(spark, odd, none):
+@pytest.mark.parametrize("part_level", [jaccard.PART_LEVEL, 1])
+def test_jaccard_classes(spark, odd, none, part_level):
     """Near copies at all distances from their original, chains, shared passages, and odd rows."""
     rng = np.random.default_rng(5)
     word = lambda: f"w{rng.integers(5000)}"
@@ -127,10 +128,10 @@ def test_jaccard_classes(spark, odd, none):
     passage = " ".join(f"p{k}" for k in range(20))
     rows += [(len(rows) + 1000 + k, passage + " " + " ".join(word() for _ in range(10 + k))) for k in range(20)]
     table = spark.createDataFrame([(i, t, None, None, None, 0.0, 0) for i, t in rows], SCHEMA).union(odd)
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(table).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(table, part_level=part_level).collect()}
     assert found == classes_by_force([(r["doc_id"], r["text"]) for r in table.collect()])
     assert found[6][1] == 6 and found[5][1] == 4
-    assert jaccard.classes(none).count() == 0
+    assert jaccard.classes(none, part_level=part_level).count() == 0
 
 
 def test_language(spark, docs, odd, none):
