@@ -11,7 +11,9 @@ What is asked for are the classes of linked documents, so pairs whose link is al
 others need no verification. Verification comes in two passes: first each group with two of those
 it meets in each list of the index (the one whose prefix is shared the most, as the original of
 many near copies is, and the next in size), then all pairs left of groups that the first pass put
-into different classes. No pair of different classes that passes the filters is skipped.
+into different classes. No pair of different classes that passes the filters is skipped. Members of one
+group that are of different classes meet by what follows their prefix: their sets are equally large
+and have the prefix in common, so that a link asks for a shingle in common among the next few, too.
 
 Lists of shingles that very many documents hold are split: the count that orders the shingles also
 says, where a prefix is made, in how many parts a list is dealt. Windows run over parts, lists are
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -104,13 +107,26 @@ def frequent(docs: DataFrame, size: int, most: int = FREQUENT) -> tuple[np.ndarr
     return hashes[order], top.column("level").to_numpy().astype(np.int8)[order]
 
 
-def prefixes(docs: DataFrame, size: int, num: int, den: int, part_level: int) -> DataFrame:
+def by_level(x: np.ndarray, common: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a sorted set's shingles, rare ones first, and the level of each."""
+    level = np.zeros(len(x), np.int8)
+    if len(common) and len(x):
+        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+        level = np.where(common[at] == x, levels[at], 0)
+    return np.argsort(level, kind="stable"), level
+
+
+def prefix_length(n: int, num: int, den: int) -> int:
+    """Sets that link with a set of n share a shingle with this many of its first."""
+    return n - (num * n + den - 1) // den + 1 if n else 0
+
+
+def prefixes(docs: DataFrame, last: Broadcast, size: int, num: int, den: int, part_level: int) -> DataFrame:
     """doc_id, n (size of the set), sig (hash of the set), gkey (hash of size and prefix), prefix, and
     halvings: for each shingle of the prefix how often its list is halved into parts.
 
     A task gives the prefix of a group once.
     """
-    last = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (common, levels), seen = last.value, set()
@@ -120,11 +136,8 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, part_level: int) ->
                 n = len(x)
                 with np.errstate(over="ignore"):
                     sig = int(mixed(x * np.uint64(0xD6E8FEB86659FD93)).sum()) if n else 0
-                    level = np.zeros(n, np.int8)
-                    if len(common) and n:
-                        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
-                        level = np.where(common[at] == x, levels[at], 0)
-                    order = np.argsort(level, kind="stable")[: n - (num * n + den - 1) // den + 1 if n else 0]
+                    order, level = by_level(x, common, levels)
+                    order = order[: prefix_length(n, num, den)]
                     head = x[order]
                     key = int(mixed((mixed(head + np.uint64(n)) * np.uint64(3)).sum(keepdims=True))[0]) if n else 0
                 ns.append(n)
@@ -140,6 +153,24 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, part_level: int) ->
     return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sig long, gkey long, prefix array<long>, halvings array<int>")
 
 
+def followers(docs: DataFrame, ids: DataFrame, last: Broadcast, size: int, num: int, den: int) -> DataFrame:
+    """cid and h: the shingles behind the prefix of each document of ids, of which two equally large
+    sets with one prefix share at least one if they link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, levels = last.value
+        for chunk in row_chunks(batches, "text"):
+            found = []
+            for x in sets(chunk.column("text"), size):
+                n = len(x)
+                begin, both = prefix_length(n, num, den), (2 * n * num + num + den - 1) // (num + den)
+                found.append(x[by_level(x, common, levels)[0][begin : begin + n - both + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["cid", "x"])
+
+    some = joined_by_id(bounded(docs).select("doc_id", "text"), ids, "doc_id", "left_semi")
+    return some.mapInArrow(run, "cid long, x array<long>").select("cid", F.explode("x").alias("h")).distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Those pairs(a, b) of doc ids whose whole sets are similar enough."""
     pairs = saved(pairs.distinct(), "pairs")
@@ -162,7 +193,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
 def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, part_level: int = PART_LEVEL) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs(doc_id, text): documents link where
     den * shared >= num * united of their sets of `size`-word shingles."""
-    every = saved(prefixes(docs, size, num, den, part_level), "prefixes")
+    last = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
+    every = saved(prefixes(docs, last, size, num, den, part_level), "prefixes")
     least = lambda n: F.expr(f"({n} * {num} + {den - 1}) div {den}")
     need = lambda: F.expr(f"((n + n2) * {num} + {num + den - 1}) div {num + den}") - F.greatest(least("n"), least("n2")) + 1
     near = (F.col("n2") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("n2") * num)
@@ -218,14 +250,20 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, part_
     after = F.struct("n", "gkey") < F.struct("n2", "gkey2")
     pairs = left.join(other, ["h", "part", "step"]).filter(after & near & enough & sharing & open_pair)
     pairs = pairs.groupBy("gkey", "gkey2", "n", "n2").agg(F.count("*").alias("met")).filter(F.col("met") >= need()).select("gkey", "gkey2")
-    pairs = pairs.union(spans.filter("lo < hi").select("gkey", F.col("gkey").alias("gkey2")))
     mine, theirs = labelled.select("gkey", F.col("cid").alias("a"), F.col("comp").alias("ca")), labelled.select(F.col("gkey").alias("gkey2"), F.col("cid").alias("b"), F.col("comp").alias("cb"))
     rest = pairs.join(mine, "gkey").join(theirs, "gkey2").filter("ca != cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(rest, docs, size, num, den)
+    split = saved(labelled.join(spans.filter("lo < hi").select("gkey"), "gkey", "left_semi"), "split")
+    ids = saved(split.select(F.col("cid").alias("doc_id")).distinct(), "ids")
+    next_ones = split.join(followers(docs, ids, last, size, num, den), "cid").select("gkey", "h", "comp", "cid").distinct()
+    lists = next_ones.groupBy("gkey", "h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("gkey", "h")
+    next_ones = saved(next_ones.join(lists, ["gkey", "h"], "left_semi"), "next")
+    inner = next_ones.select("gkey", "h", F.col("comp").alias("ca"), F.col("cid").alias("a"))
+    inner = inner.join(next_ones.select("gkey", "h", F.col("comp").alias("cb"), F.col("cid").alias("b")), ["gkey", "h"])
+    more = verified(rest.union(inner.filter("a < b AND ca != cb").select("a", "b")), docs, size, num, den)
 
     final = connected(star.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     known = members.join(final.withColumnRenamed("node", "cid"), "cid", "left").select("gkey", "n", "sig", F.coalesce("component", "cid").alias("component_id"))
-    for x in (shared, sketch, index, left, labelled, links, more):
+    for x in (shared, sketch, index, left, labelled, links, split, ids, next_ones, more):
         dropped(x)
     out = every.select("doc_id", "n", "sig", "gkey").join(known, ["gkey", "n", "sig"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
