@@ -125,10 +125,11 @@ def test_jaccard_classes(spark, odd, none, part_level):
         for _ in range(int(rng.integers(0, 5))):
             base[int(rng.integers(len(base)))] = word()
         rows.append((len(rows) + 1000, " ".join(base)))
-    # equal prefixes and sizes, but several classes within such a group
-    for k in range(8):
+    # equal prefixes and sizes, but several classes within such a group (its shingles are in fewer than
+    # 8 documents, so that the order is that of the hashes)
+    for k in range(16):
         opening = " ".join(f"o{k}x{j}" for j in range(12))
-        rows += [(len(rows) + 1000 + j, f"{opening} y{j % 4} z{j}") for j in range(12)]
+        rows += [(len(rows) + 1000 + j, f"{opening} y{j % 3} z{j}") for j in range(6)]
     passage = " ".join(f"p{k}" for k in range(20))
     rows += [(len(rows) + 1000 + k, passage + " " + " ".join(word() for _ in range(10 + k))) for k in range(20)]
     table = spark.createDataFrame([(i, t, None, None, None, 0.0, 0) for i, t in rows], SCHEMA).union(odd)
