@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estimora.llm import bpe, decontaminate, html_main, jaccard, langid, near_vectors, pii, token_files, trie_counts, warc
+from estimora.llm import bpe, decontaminate, exact_dedup, html_main, jaccard, langid, near_vectors, pii, spelling, sql, token_files, trie_counts, turn_trie, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,21 @@ def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extracted(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+ORACLES |= {"op11_exact_dedup": sql.EXACT_GROUPS, "op12_spelling_variants": sql.VARIANTS, "op13_turn_trie": sql.TURN_TRIE}

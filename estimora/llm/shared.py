@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from estimora.sources.shared import file_system, new_path, shared_dir
 
-__all__ = ["bounded", "dropped", "file_system", "joined_by_id", "new_path", "saved", "scope", "shared_dir"]
+__all__ = ["bounded", "dropped", "file_system", "joined_by_id", "new_path", "saved", "scope", "shared_dir", "unused"]
 
 
 _scopes: list[list[DataFrame]] = []
@@ -72,3 +72,11 @@ def joined_by_id(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFra
     """A left semi or anti join with a saved table of distinct ids, broadcast only if it is small."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if small else ids, key, how)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case of letters."""
+    known = {c.lower() for c in docs.columns}
+    while name in known:
+        name += "_"
+    return name
