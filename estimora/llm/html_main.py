@@ -5,9 +5,12 @@ their classes. Over the distinct pages that have a node, the entropy of what it
 and of the elements it has below (presentation) says how important it is: menus, notices and
 footers repeat from page to page, articles don't. Branches of low importance are removed from
 each page, along with those that their element, class or role marks as no part of an article.
-Class names are evidence only: whole names of telling words count, and no branch that holds most
-of an article's text goes by its name. Nor does the tree remove most of an article, which then is
-one that other pages have, too, or all that a page has.
+Class names are evidence only, of blocks: whole names of telling words count, those of words that
+articles use, too, only with a second sign (the tree's, or text that is mostly links). Within an
+article the tree needs a second sign as well: a telling name, mostly links, or that a branch holds no
+running text (paragraphs, headings, lists, quotes, captions, tables), so that what articles of a host
+share, such as equal headings, stays. No branch that holds most of an article's text goes by its
+name, nor does the tree remove most of an article, or all that a page has.
 
 The text is what is left of the page's article (or main element, or else its body): block by
 block, white space as one blank, blocks joined by an empty line.
@@ -41,6 +44,8 @@ from estimora.llm.shared import bounded, saved
 #: them: on two pages nothing is certain, on three what is equal on all. The square of these pages
 #: must be LEAST_SHARE times the host's: a few of many may be versions of one article.
 LEAST_IMPORTANCE, DOUBT, LEAST_SHARE = 0.3, 0.6, 2.25
+#: Part of a branch's characters in links from which it is mostly links.
+MOSTLY_LINKS = 0.5
 #: Rows of removed nodes that are sent to all executors at most; more are joined by host.
 BROADCAST_ROWS = 100_000
 
@@ -58,6 +63,9 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 KEPT = frozenset(("", "html", "body", "main", "article"))
 PLAIN = frozenset("area article bar block body bottom box btn button buttons center close column container content count desktop entry feed form group header icon icons inner item items left link links list main mobile module new outer page panel post posts primary right row secondary section site slot sticky text thread top unit wrap wrapper".split())
 WORDS = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion promoted recommended related reply replies share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget".split())
+# Those of the words that an article may use of its own matter, and elements of running text.
+WEAK = frozenset("banner comment consent gdpr login menu modal navigation notice notices promotion promoted recommended related reply replies share sharing social widget".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote figcaption figure caption table thead tbody tfoot tr td th pre".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'<>]+)")
@@ -78,11 +86,12 @@ class Page:
     paths: list[int] = field(default_factory=lambda: [0])  # hashes of the styles from the root down
     shapes: list[int] = field(default_factory=lambda: [0])  # hashes of the styles below
     dropped: list[bool] = field(default_factory=lambda: [False])  # by element or role
-    doubted: list[bool] = field(default_factory=lambda: [False])  # by class or id
+    doubted: list[int] = field(default_factory=lambda: [0])  # by class or id: 1 by a word that an article may use, 2 by others
     opened: list[int] = field(default_factory=lambda: [0])  # blocks before
     closed: list[int] = field(default_factory=lambda: [0])  # blocks up to the end
     holders: list[int] = field(default_factory=list)  # the element of each block
     blocks: list[str] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)  # characters of each block that are in links
 
     def passed_down(self, own: list) -> list:
         """For each element the first true value from the root down to it."""
@@ -101,10 +110,14 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 @lru_cache(10_000)
-def telling(name: str) -> bool:
-    """Whether a class or id says that it is no part of an article: all its words must fit."""
+def telling(name: str) -> int:
+    """Whether a class or id says that it is no part of an article: all its words must fit. 1 if its
+    words have a meaning in articles, too, else 2; two such words leave no doubt."""
     words = [w.lower() for w in _PARTS.findall(name)]
-    return any(w in WORDS for w in words) and all(w in WORDS or w in PLAIN or w.isdigit() for w in words)
+    found = [w for w in words if w in WORDS]
+    if not found or not all(w in WORDS or w in PLAIN or w.isdigit() for w in words):
+        return 0
+    return 2 if len(words) > 1 or any(w not in WEAK for w in found) else 1
 
 
 def unwanted(name: str, found: dict[str, str], within: bool) -> bool:
@@ -121,6 +134,7 @@ def page_of(source: str) -> Page:
     places: dict[str, list[int]] = defaultdict(list)  # where on the stack each name is open
     blocks: list[int] = []  # where block elements are
     held: list[str] = []
+    in_links: list[str] = []
     hidden = 0  # open elements of one line whose text is lost
 
     def last(names) -> int:
@@ -129,8 +143,11 @@ def page_of(source: str) -> Page:
     def close_block() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
+            linked = sum(map(len, in_links))
             held.clear()
+            in_links.clear()
             if text:
+                page.linked.append(min(len(text), linked))
                 page.holders.append(stack[-1][1])
                 page.blocks.append(text)
 
@@ -155,6 +172,8 @@ def page_of(source: str) -> Page:
             break
         if m.start() > at and not hidden:
             held.append(source[at : m.start()])
+            if places["a"]:
+                in_links.append(held[-1].strip())
         at = m.end()
         if m[2] is None:
             continue
@@ -179,7 +198,7 @@ def page_of(source: str) -> Page:
             continue
         found = attributes(m[3]) if m[3].strip(" /") else {}
         bad = unwanted(name, found, bool(places["article"] or places["main"]))
-        doubt = name not in KEPT and any(map(telling, [*found.get("class", "").split(), *found.get("id", "").split()]))
+        doubt = 0 if name in KEPT else max(map(telling, [*found.get("class", "").split(), *found.get("id", "").split()]), default=0)
         node, lost = stack[-1][1], False
         places[name].append(len(stack))
         if name in BLOCKS:
@@ -196,7 +215,7 @@ def page_of(source: str) -> Page:
             blocks.append(len(stack))
             node = len(page.names) - 1
         else:
-            lost = bad or doubt
+            lost = bad
         stack.append((name, node, lost))
         hidden += lost
         if name in RAW:
@@ -249,7 +268,7 @@ def root_name(page: Page, kept: list[bool]) -> str | None:
 def main_text(page: Page, removed: frozenset | set) -> str:
     """The blocks of the article that are in no removed or dropped branch."""
     n = len(page.names)
-    dropped, doubted = page.passed_down(page.dropped), page.passed_down(page.doubted)
+    dropped, doubted = page.passed_down(page.dropped), page.passed_down([x > 0 for x in page.doubted])
     root = root_name(page, [not x and not y for x, y in zip(dropped, doubted, strict=True)]) or root_name(page, [not x for x in dropped])
     # the outermost article or main of each element, -1 outside of all
     top: list[int] = []
@@ -267,12 +286,24 @@ def main_text(page: Page, removed: frozenset | set) -> str:
     alone = (own[page.closed] - own[page.opened]).tolist()
     if root is not None:
         dropped = [d or x and alone[t] > 0 for d, x, t in zip(dropped, nested, top, strict=True)]
+    links = before.copy()
+    links[1:] = np.cumsum(np.minimum(size, np.array(page.linked, np.int64)))
+    links = (links[page.closed] - links[page.opened]).tolist()
+    running = before.copy()
+    running[1:] = np.cumsum(size * np.array([page.names[k] in RUNNING for k in page.holders], bool))
+    running = (running[page.closed] - running[page.opened]).tolist()
     doubted, judged = [False] * n, [False] * n
     for k, t in enumerate(top):
-        if t >= 0:
-            doubted[k] = page.doubted[k] and (root is None or 2 * whole[k] <= whole[t])
-            paragraph = root is not None and page.parents[k] == t and page.names[k] in ("p", "h1", "h2", "h3", "h4", "h5", "h6")
-            judged[k] = not paragraph and k != t and page.names[k] not in KEPT and signed(page.paths[k]) in removed
+        if t < 0 or k == t or page.names[k] in KEPT:
+            continue
+        frequent = signed(page.paths[k]) in removed
+        if root is None:  # without an article names and the tree each decide alone
+            doubted[k], judged[k] = page.doubted[k] > 0, frequent
+        elif page.names[k] not in RUNNING or page.names[k] in ("ul", "ol", "table"):
+            linked = links[k] > 0 and links[k] >= MOSTLY_LINKS * whole[k]
+            sure = page.doubted[k] == 2 and page.names[k] not in RUNNING
+            doubted[k] = 2 * whole[k] <= whole[t] and (sure or page.doubted[k] > 0 and (linked or frequent))
+            judged[k] = frequent and (linked or page.doubted[k] > 0 or not running[k])
     doubted, judged = page.passed_down(doubted), page.passed_down(judged)
     if root is not None:
         # an article whose text is removed for the most part is one that other pages have, too

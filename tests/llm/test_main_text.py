@@ -1,6 +1,8 @@
 """Main texts of pages: articles in main, copies of pages, hosts of few pages."""
 
+import math
 import time
+from collections import Counter
 
 import pytest
 
@@ -95,3 +97,47 @@ def test_hosts_of_few_pages(spark):
     versions = [f'<article><p>Text {k}</p><table class="t{max(k, 2)}"><td>Cell {max(k, 2)}</table></article><!-- {k} -->' for k in range(9)]
     versions[:3] = [f'<article><p>Text {k}</p><table class="t2"><td>Cell 2</table></article>' for k in range(3)]
     assert texts(spark, versions)[:3] == [f"Text {k}\n\nCell 2" for k in range(3)]
+
+
+def test_what_articles_of_a_host_share_stays(spark):
+    """Headings, lists, quotes and captions that are equal on all pages of a host are parts of articles."""
+    page = lambda k: f'<body><nav><a href=/>Home</a></nav><article><h1>Dish {k}</h1><div class="body"><h2>Ingredients</h2><p>own {k}</p><ul><li>Salt</li></ul><blockquote>Eat well</blockquote><figure><figcaption>As served</figcaption></figure><table><tr><td>Grams</td></tr></table><h2>Method</h2><p>cook {k} times</p></div></article></body>'
+    want = lambda k: f"Dish {k}\n\nIngredients\n\nown {k}\n\nSalt\n\nEat well\n\nAs served\n\nGrams\n\nMethod\n\ncook {k} times"
+    assert texts(spark, [page(k) for k in range(12)]) == [want(k) for k in range(12)]
+
+
+def test_names_need_a_second_sign(spark):
+    long = "words of a long story " * 30
+    of = lambda inner: text(f"<article><h1>T</h1><p>{long}</p>{inner}</article>").removeprefix("T\n\n" + long.strip()).strip()
+    assert of('<section class="recommended"><p>Recommended dose is 5 mg</p></section>') == "Recommended dose is 5 mg"
+    assert of('<p id="comments">Comments on the treaty</p>') == "Comments on the treaty"
+    assert of('<p>He <span class="comment">said</span> it</p>') == "He said it"
+    assert of('<div class="related"><a href=/a>Another story</a> <a href=/b>One more</a></div>') == ""
+    assert of('<div class="notice"><p>Notice period: <a href=/x>a</a> month of grace</p></div>') == "Notice period: a month of grace"
+    assert of('<section class="comments"><p>Great!</p></section>') == "" == of('<ul class="share"><li><a href=/f>Post</a></ul>')
+    page = lambda k: f'<article><h1>T {k}</h1><p>{long}{k}</p><div class="related"><p>Our best offers</p></div><div class="more"><p><a href=/o>Our best offers</a></p></div></article>'
+    assert all("offers" not in t for t in texts(spark, [page(k) for k in range(5)]))
+
+
+def test_entropies_by_force(spark):
+    """What the tree removes, against entropies computed page by page."""
+    def page(k):
+        return f'<body><div class=a>Same</div><div class=b>{"xy"[k % 2]}</div><div class=c>{k}</div>{"<div class=d><p>Rare</div>" if k < 2 else ""}{"<div class=e>Half</div>" if k % 2 else ""}<div class=f>{k // 5}<i></i>{"<p>z" * (k % 3)}</div></body>'
+
+    hosts = {"h.example": [page(k) for k in range(20)] + [page(0)], "i.example": [page(k) for k in (1, 2, 3)], "j.example": [page(4), page(5)]}
+    want = set()
+    for host, pages in hosts.items():
+        seen, total = {}, len(set(pages))
+        for source in set(pages):
+            for path, content, shape in html_main.style_rows(html_main.page_of(source)):
+                seen.setdefault(path, []).append((content, shape))
+        for path, values in seen.items():
+            m, importance = len(values), 0.0
+            for kind, weight in ((0, 0.7), (1, 0.3)):
+                counts = Counter(v[kind] for v in values)
+                importance += weight * (-sum(c / m * math.log(c / m) for c in counts.values()) / math.log(m) if m > 1 else 1)
+            if importance + html_main.DOUBT / m < html_main.LEAST_IMPORTANCE and m * m >= total * html_main.LEAST_SHARE:
+                want.add((host, path))
+    rows = [(host, p) for host, pages in hosts.items() for p in pages]
+    found = {tuple(r) for r in html_main.removed_styles(spark.createDataFrame(rows, "host string, html string")).collect()}
+    assert found == want and want
