@@ -10,10 +10,10 @@ between the whole item and the nearest part of the words in and around the windo
 
 Windows start where an item could start: at each word whose run of SEED words also stands in an
 item, less its place there, and up to as many words around as may be edited, provided that as
-many such runs lie close by as a window within the limit must hold. An item with at most max_share edits
-keeps such a run whole (an item of L words and k <= L/5 edits is cut into k+1 runs, one of which
-has at least 3 words once L >= 6; shorter items are sought by shorter runs), so this leaves out
-no window that verification would accept.
+many such runs lie close by as a window within the limit must hold. An item of L words with k edits keeps
+L - k of them in k + 1 runs at most, one of which is as long as their mean: no seed is longer than
+that (3 words for a fifth of edits and L >= 6, fewer for more), so this leaves out no window that
+verification would accept.
 
 The number of rounds follows from the recall asked for, for each length of items: items are
 edited at random up to the limit, their embeddings are compared, and the rounds are what the
@@ -132,7 +132,7 @@ def prepared(ids: list[int], texts: list[str], share: float, recall: float) -> I
     least = np.ones(len(parts), np.int64)
     by_size: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for k, t in enumerate(parts):
-        size = SEED if len(t) >= 2 * SEED else 2 if len(t) == 5 else min(len(t), SEED)
+        size = max(1, min(SEED, -(-(len(t) - limits[k]) // (limits[k] + 1))))
         least[k] = max(1, len(t) - size + 1 - size * limits[k])
         found, at = grams(t, np.zeros(len(t), np.int64), size, 9)
         by_size[size] += [(int(h), k, int(p)) for h, p in zip(found, at, strict=True)]
@@ -249,7 +249,9 @@ def found_in(items: Items, hashes: np.ndarray, rows: np.ndarray) -> list[tuple[i
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.2, recall: float = 0.99) -> DataFrame:
     """A row for each document of docs(doc_id, text) that holds an item of benchmark(item_id, text)
-    with edits of max_share of its words at most: where about, and how many edits."""
+    with edits of max_share of its words at most, which is below 1: where about, and how many edits."""
+    if not 0 <= max_share < 1:
+        raise ValueError("max_share is from 0 to below 1")
     folder = new_path(docs.sparkSession, "benchmark")
     known = benchmark.select("item_id", "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
     parts = -(-known.count() // ITEMS_AT_ONCE)

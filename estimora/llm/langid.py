@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 from estimora.llm.arrays import row_chunks, text_bytes
 from estimora.llm.shared import bounded
@@ -144,22 +145,27 @@ def remainder(doc_id="doc_id"):
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from docs(doc_id, text, lang): from about `sample_rows` of the labelled rows that
-    aren't held out, as many of each language where there are so many. Their hashed features,
-    of one size whatever the text, are all that reaches the driver."""
+    aren't held out, as many of each language where there are so many. Rows are drawn by a hash of id
+    and text, equal ones once, and of those drawn a language has at most its share of sample_rows by
+    that hash, so the bound holds whatever repeats. Their hashed features, of one size whatever the
+    text, are all that reaches the driver."""
     known = bounded(docs).select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(remainder(), F.lit(0)) != 2))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model()
     each = max(1, sample_rows // len(counts))
     rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate[F.col("lang")] * float(1 << 20)
+    key = F.xxhash64("doc_id", "text")
+    likely = known.withColumn("key", key).filter(F.pmod("key", F.lit(1 << 20)) < rate[F.col("lang")] * float(1 << 20))
+    first = W.Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 20)), "key")
+    drawn = likely.dropDuplicates(["lang", "key"]).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= each)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in row_chunks(batches, "text", rows=500):
             x = features(chunk.column("text"))
             yield pa.RecordBatch.from_pydict({"lang": chunk.column("lang"), "x": pa.array([v.tobytes() for v in x], pa.binary())})
 
-    found = known.filter(drawn).select("text", "lang").mapInArrow(vectors, "lang string, x binary").toArrow().combine_chunks()
+    found = bounded(drawn.select("text", "lang")).mapInArrow(vectors, "lang string, x binary").toArrow().combine_chunks()
     if not found.num_rows:
         return Model()
     data, _ = text_bytes(found.column("x").chunk(0))

@@ -3,9 +3,13 @@
 Each text's mentions (runs that look like numbers, addresses or spelled-out addresses) are nodes
 with a label: none, email, ip, card or phone. Mentions that a base pattern matches keep its label.
 The others have a potential from their shape and the word before them, a chain potential with
-the mention before, and skip potentials with distant mentions of equal or similar form. Loopy
-message passing over each document's graph spreads labels along those links, so that a number
-repeated without its plus sign, or with a slip in it, is labelled as its full form is.
+the mention before, and skip potentials with distant mentions of equal form, of equal last nine
+digits, or of as many digits of which one differs. Loopy message passing over each document's
+graph spreads labels along those links, so that a number repeated without its plus sign, or with a
+slip in it, is labelled as its full form is. Some labels are ruled out by form: a number is no
+address, one without four groups of up to 255 no ip unless an ip of the text has its digits, one of
+under 13 digits no card, and one of more than 15 no phone. Labelled numbers without their signs are
+negative examples, so that a plain number is nothing unless a link or the word before it says so.
 
 The base patterns are exact and their spans always stay; a labelled mention adds a span only
 where it overlaps none of them. Potentials are learned from a bounded sample of documents.
@@ -37,6 +41,10 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 SAMPLE_DOCS, ROUNDS = 2000, 12
 #: Links whose messages are computed at once.
 LINKS_AT_ONCE = 50_000
+#: A neighbour is weighed as half a piece, a mention of the same form as three.
+SKIP_WEIGHT = 3
+#: Mentions of a document and characters of a form that potentials are learned from, at most.
+FIT_MENTIONS, FIT_FORM = 200, 40
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -107,6 +115,7 @@ class Mention:
     form: str
     label: int  # of a base pattern, or -1
     shape: np.ndarray
+    dotted: bool = False  # four groups of digits up to 255
 
 
 def shape_of(raw: str, form: str, cue: int) -> np.ndarray:
@@ -142,29 +151,57 @@ def mentions(text: str, base: list[list[tuple[int, int]]]) -> list[Mention]:
         raw = text[a:b]
         form = digits_of(raw) if not re.search("[A-Za-z]", raw) else re.sub(r"[^a-z0-9]", "", re.sub(r"[\[( ]+(?:at|dot)[\]) ]+|[@.]", "", raw.lower()))
         w = _WORD_BEFORE.search(text, max(0, a - 40), a)
-        found.append(Mention(a, b, form, k, shape_of(raw, form, _CUE.get(w[1].lower(), -1) if w else -1)))
+        groups = re.findall("[0-9]+", raw) if len(raw) < 30 else []
+        dotted = len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+        found.append(Mention(a, b, form, k, shape_of(raw, form, _CUE.get(w[1].lower(), -1) if w else -1), dotted))
     return found
 
 
 def links(found: list[Mention]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of neighbouring mentions, and pairs of equal or similar ones: the members of each
-    class of forms are linked one to the next, so pairs grow as the mentions do."""
+    class of forms are linked one to the next, and to the last one that a base pattern matches, so
+    pairs grow as the mentions do."""
     chain = np.stack([np.arange(len(found) - 1), np.arange(1, len(found))], axis=1)
     last: dict[tuple, int] = {}
+    sure: dict[tuple, int] = {}
     skips = set()
     for k, m in enumerate(found):
         f, keys = m.form, [("=", m.form)]
-        if f.isdigit() and len(f) >= 7:
-            # numbers of one length that differ in a digit, and numbers that end alike (no country prefix)
-            half = len(f) // 2
-            keys += [("head", len(f), f[:half]), ("tail", len(f), f[half:]), ("end", f[-9:])] if len(f) >= 9 else [("end", f)]
+        if f.isdigit() and len(f) >= 9:
+            # numbers that end alike, as without a country prefix, and numbers that differ in one digit
+            keys += [("end", f[-9:]), *(("but", f[:at], f[at + 1 :]) for at in range(len(f)))]
         for key in keys:
-            if key in last:
-                skips.add((last[key], k))
+            skips |= {(x[key], k) for x in (last, sure) if key in x}
             last[key] = k
+            if m.label >= 0:
+                sure[key] = k
     return chain.reshape(-1, 2), np.array(sorted(skips), np.int64).reshape(-1, 2)
 
 
+def ruled_out(found: list[Mention]) -> np.ndarray:
+    """For each mention the labels that its form can't have."""
+    out = np.zeros((len(found), len(KINDS) + 1), bool)
+    ips = {m.form for m in found if m.label == 1}
+    for k, m in enumerate(found):
+        number = m.form.isdigit()
+        out[k, 1] = number
+        out[k, 2] = not number or not m.dotted and m.form not in ips
+        out[k, 3] = not number or len(m.form) < 13 or len(m.form) > 19
+        out[k, 4] = not number or len(m.form) < 7 or len(m.form) > 15
+    return out
+
+
+def negatives(docs: list[list[Mention]]) -> list[np.ndarray]:
+    """Shapes of labelled numbers without their signs; a card's with its last digit changed."""
+    out = []
+    for d in docs:
+        for m in d:
+            if m.label > 0 and m.form.isdigit():
+                form = m.form if m.label != 2 else m.form[:-1] + str((int(m.form[-1]) + 1) % 10)
+                out.append(shape_of(form, form, -1))
+    return out
+
+
 @dataclass
 class Field:
     """Potentials, in logarithms: of shapes, of neighbours, and of the ends of a skip link."""
@@ -178,8 +215,9 @@ def learned(docs: list[list[Mention]]) -> Field:
     """Piecewise training: softmax regression for shapes with the base labels as targets, smoothed
     log ratios of label pairs for neighbours and for the ends of skip links."""
     labels = len(KINDS) + 1
-    x = np.array([m.shape for d in docs for m in d]).reshape(-1, 18)
-    y = np.array([m.label + 1 for d in docs for m in d], np.int64)
+    plain = negatives(docs)
+    x = np.array([m.shape for d in docs for m in d] + plain).reshape(-1, 18)
+    y = np.array([m.label + 1 for d in docs for m in d] + [0] * len(plain), np.int64)
     w = np.zeros((18, labels))
     for _ in range(300 if len(y) else 0):
         z = x @ w
@@ -203,13 +241,14 @@ def learned(docs: list[list[Mention]]) -> Field:
         out.append(np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -4, 4))
     out[1][0, :] = np.minimum(out[1][0, :], 0)
     out[1][:, 0] = np.minimum(out[1][:, 0], 0)
-    return Field(w, out[0] / 2, out[1])
+    return Field(w, out[0] / 2, out[1] * SKIP_WEIGHT)
 
 
 def labelled(found: list[Mention], field: Field) -> np.ndarray:
     """The probability of each label of each mention after message passing along all links."""
     n, labels = len(found), len(KINDS) + 1
     unary = np.array([m.shape for m in found]) @ field.unary
+    unary[ruled_out(found)] = -30
     for k, m in enumerate(found):
         if m.label >= 0:
             unary[k] = -30
@@ -264,7 +303,7 @@ def written(spans: list[list[tuple[int, int]]]) -> str:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """Potentials from about `sample_docs` of the documents that hold mentions, each with its first
-    200 mentions; their features are all that reaches the driver."""
+    FIT_MENTIONS mentions, forms cut to FIT_FORM; their features are all that reaches the driver."""
     some = bounded(docs).select("text").filter(F.col("text").rlike("[0-9@]"))
     total = some.count()
     drawn = some.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, sample_docs / max(total, 1)) * (1 << 20)))
@@ -273,8 +312,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
         for chunk in row_chunks(batches, "text"):
             rows = []
             for text in chunk.column("text").to_pylist():
-                found = mentions(text, base_spans(text))[:200]
-                rows.append([{"form": m.form[:40], "label": m.label, "shape": m.shape.tolist()} for m in found])
+                found = mentions(text, base_spans(text))[:FIT_MENTIONS]
+                rows.append([{"form": m.form[:FIT_FORM], "label": m.label, "shape": m.shape.tolist()} for m in found])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.struct([("form", pa.string()), ("label", pa.int32()), ("shape", pa.list_(pa.float64()))])))], ["m"])
 
     rows = drawn.distinct().mapInArrow(features, "m array<struct<form: string, label: int, shape: array<double>>>").limit(4 * sample_docs).collect()

@@ -296,3 +296,91 @@ def test_trie_counts_anew():
     counter.store(words)
     assert len(counter.known) == len(words)
     assert all((counter.counts[k], counter.scores[k]) == counter.along("▁" + w) for w, k in counter.known.items())
+
+
+PLAIN = [
+    "Server 10.0.0.1 ok. Order 1234567890, order 2234567890, order 3234567890.", "part 555123987654, part 555123987655, part 123456789 at 192.168.1.20", "ISBN 9783161484100 and card 4465758382889437",
+    "invoice 20240311991 of 5550001112 call +49 30 12345678", "tel +49 30 12345678, order 4930999999, case 3012345678901", "id 1020304050 beside 10.20.30.40", "4465758382889437 is paid, reference 4465758382000000",
+]
+SPREAD = {
+    "card 4465758382889437 then 4465 7583 8288 9438": 1, "call +49 30 12345678 or 030 12345678 or 493012345678": 2, "Phone +1 (555) 123-4567, again 555 123 4567 and 5551234567, order 5551239999": 2,
+    "mail a.b@c.org or a.b [at] c [dot] org": 1, "host 10.20.30.40 and later 10 20 30 40": 1,
+}
+
+
+@pytest.fixture(scope="module")
+def fields(spark):
+    return [pii.fit(spark.read.parquet(f"/root/testdata/{d}/documents.parquet")) for d in ("sf0.001", "sf0.01", "sf0.1")]
+
+
+def test_plain_numbers_are_nothing(fields):
+    for field in fields:
+        for text in PLAIN:
+            assert not any(pii.spans_of(text, field)[1]), text
+        for text, n in SPREAD.items():
+            assert sum(map(len, pii.spans_of(text, field)[1])) == n, text
+
+
+def exact(found, field):
+    """Marginals of all labellings of up to eight mentions."""
+    labels, n = 5, len(found)
+    unary = np.array([m.shape for m in found]) @ field.unary
+    unary[pii.ruled_out(found)] = -30
+    for k, m in enumerate(found):
+        if m.label >= 0:
+            unary[k] = -30
+            unary[k, m.label + 1] = 0
+    every = np.stack(np.meshgrid(*[np.arange(labels)] * n, indexing="ij"), -1).reshape(-1, n)
+    score = sum(unary[k][every[:, k]] for k in range(n))
+    for table, pairs in zip((field.chain, field.skip), pii.links(found), strict=True):
+        for a, b in pairs:
+            score = score + table[every[:, a], every[:, b]]
+    p = np.exp(score - score.max())
+    return np.array([[p[every[:, k] == x].sum() for x in range(labels)] for k in range(n)]) / p.sum()
+
+
+def test_messages_against_all_labellings(fields):
+    """What the field adds is what exact marginals add, on every text of a few mentions."""
+    checked = 0
+    for text in [*PLAIN, *SPREAD, "a 1234567 b 12345678901 c 1.2.3.4 d 4111111111111111 e +12 345 678 901 f 12 345 678 901"]:
+        for field in fields:
+            found = pii.mentions(text, pii.base_spans(text))
+            if 1 < len(found) <= 7:
+                p, q = exact(found, field), pii.labelled(found, field)
+                pick = lambda x: [(int(r.argmax()), bool(r.max() > 0.6)) for r in x]
+                assert pick(p) == pick(q), text
+                checked += 1
+    assert checked > 20
+
+
+def test_very_many_links(fields):
+    text = "call +49 30 12345678, then " + "; ".join(f"030 12345678 and {k:09d}" for k in range(40_000, 60_000))
+    base, added = pii.spans_of(text, fields[0])
+    assert len(base[3]) == 1 and len(added[3]) == 20_000 and not added[1] and not added[2]
+
+
+def test_the_training_sample_is_bounded(spark, monkeypatch):
+    """Rows without an id, and repeats, don't lift the bound; the driver gets SAMPLE_ROWS at most."""
+    seen = []
+    monkeypatch.setattr(langid, "learned", lambda x, order, labels: seen.append(len(labels)) or langid.Model())
+    rows = [(None, f"word{k} and more of it", "ab"[k % 2]) for k in range(20_000)] + [(5, "again and again", "a")] * 9000
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert len(seen) == 1 and langid.SAMPLE_ROWS / 2 < seen[0] <= langid.SAMPLE_ROWS
+
+
+@pytest.mark.parametrize("share", [0.34, 0.5])
+def test_larger_shares_of_edits(spark, share):
+    """Items of six words with as many edits as the limit allows, against brute force."""
+    rng = np.random.default_rng(8)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 6))) for k in range(60)]
+    texts = []
+    for k, item in items:
+        edited = item.split()
+        for at in rng.permutation(6)[: int(share * 6)]:
+            edited[at] = f"e{k}x{at}"
+        texts.append((k, "before it " + " ".join(edited) + " behind it"))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, max_share=share).collect()}
+    assert len(found & {(k, k) for k in range(60)}) >= 58
+    with pytest.raises(ValueError):
+        decontaminate.contaminated(docs, bench, max_share=1.0)
