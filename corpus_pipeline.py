@@ -19,15 +19,22 @@ from pyspark.sql import types as T
 
 from estimora.llm import bpe, decontaminate, jaccard, langid, pii
 from estimora.llm.queries import vocabulary
-from estimora.llm.shared import joined_by_id, saved, scope
+from estimora.llm.shared import joined_by_id, saved, scope, unused
 
 
-def unused(docs: DataFrame, name: str) -> str:
-    """A column name that docs doesn't have, in any case of letters."""
-    known = {c.lower() for c in docs.columns}
-    while name in known:
-        name += "_"
-    return name
+def keyed_by(docs: DataFrame, key: str, *columns: str) -> DataFrame:
+    """docs with a 64-bit key that rows share only if they agree in a second hash of these columns, too:
+    keys under which rows differ are hashed anew, together with the second hash, until there are none."""
+    other, clash = unused(docs, "key_other"), unused(docs, "key_clash")
+    out = docs.withColumns({key: F.xxhash64(*columns), other: F.xxhash64(F.lit("other"), *columns)})
+    for attempt in range(64):
+        found = out.groupBy(key).agg(F.min(other).alias("a"), F.max(other).alias("b")).filter("a <> b")
+        shared = saved(found.select(F.col(key), F.lit(True).alias(clash)), "clashes")
+        if not shared.limit(1).count():
+            break
+        again = F.xxhash64(F.lit(attempt), key, other)
+        out = out.join(shared, key, "left").withColumn(key, F.when(F.col(clash), again).otherwise(F.col(key))).drop(clash)
+    return out.drop(other)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one whose hash of id and text is smallest; null ids come last. Of rows that repeat an id and a text
     the one that is smallest in all columns is kept. Texts without words are no duplicates."""
     key, n = unused(docs, "row_key"), unused(docs, "row_count")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    keyed = keyed_by(docs, key, "doc_id", "text")
     found = saved(jaccard.classes(keyed.select(F.col(key).alias("doc_id"), "text")), "classes")
     ids = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("i")).groupBy("k").agg(F.first("i").alias("i"), F.count("*").alias("n"))
     each = saved(found.select(F.col("doc_id").alias("k"), "component_id").distinct().join(ids, "k"), "keys")
@@ -70,7 +77,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, be it with a few edits: rows of equal texts alike."""
     key = unused(docs, "text_key")
-    keyed = docs.withColumn(key, F.xxhash64("text"))
+    keyed = keyed_by(docs, key, "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hits = decontaminate.contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark)
     found = saved(hits.select(F.col("doc_id").alias(key)).distinct(), "hits")
