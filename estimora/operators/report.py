@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estimora.functions.text import otherwise, safe_name, section, titled
-from estimora.sources.shared import file_system
+from estimora.sources import document_files
 
 # Headings, heads of tables and labels of figures below, which readers of reports look for, and what stands in place of sections that a narrative lacks.
 DEFAULTS = {
@@ -95,21 +95,18 @@ def pdf(documents: DataFrame, render, column: str = "body") -> DataFrame:
     return documents.withColumn("pdf", run(F.col(column)))
 
 
-def write_documents(documents: DataFrame, folder: str) -> DataFrame:
-    """Write documents(file_name, body) as text files to a folder that all executors reach, and return
-    a row with the number of files for each task. A file that is there already is replaced; of rows
-    with one name the greatest body is written, and null bodies and names are not."""
+def named(documents: DataFrame, document_type: str = "document_type", project: str = "project_name", at: str = "generated_at", body: str = "body") -> DataFrame:
+    """file_name and body with its front matter, both made of the row: its type is the name's first part."""
+    kind, text = F.col(document_type), F.col(body)
+    head = F.concat_ws("\n", F.lit("---"), F.lit("generated_by: estimora"), F.concat(F.lit("date: "), F.date_format(at, "yyyy-MM-dd HH:mm")), F.concat(F.lit("project: "), F.col(project)), F.concat(F.lit("document_type: "), kind), F.lit("---"))
+    name = F.concat(kind, F.lit("_"), safe_name(F.col(project)), F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".md"))
+    return documents.select(name.alias("file_name"), F.concat(head, F.lit("\n\n"), text).alias("body"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = file_system(folder)
-        store.create_dir(base, recursive=True)
-        n = 0
-        for f in frames:
-            for name, body in zip(f["file_name"], f["body"], strict=True):
-                with store.open_output_stream(f"{base}/{name}") as out:
-                    out.write(body.encode())
-                n += 1
-        yield pd.DataFrame({"n_files": [n]})
 
+def write_documents(documents: DataFrame, folder: str, mode: str = "append") -> None:
+    """Write documents(file_name, body) as text files to a folder that all executors reach: all of them,
+    or none if a task fails. A file that is there already is replaced; of rows with one name the
+    greatest body is written, and null bodies and names are not."""
+    document_files.register(documents.sparkSession)
     once = documents.filter("body IS NOT NULL AND file_name IS NOT NULL").groupBy("file_name").agg(F.max("body").alias("body"))
-    return once.mapInPandas(run, "n_files long")
+    once.write.format("document_files").mode(mode).save(folder)
