@@ -55,4 +55,4 @@ def chunked(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFr
             rows = [(i, k, c) for i, t in zip(f["doc_id"], f["text"], strict=True) for k, c in enumerate(recursive_chunks(t or "", size, overlap))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "chunk"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, chunk string")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunk_no int, chunk string")

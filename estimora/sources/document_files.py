@@ -20,6 +20,7 @@ dot or with what notes and attempts are called, is an error.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import uuid
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from estimora.sources.shared import file_system
 
@@ -57,22 +58,23 @@ def category_of(source: str) -> str:
     return next((known[p] for p in source.split("/") if p in known), "General")
 
 
-def listed(root: str) -> list[tuple[str, int]]:
-    """(path below root, bytes) of all files under root in order, without links."""
+def listed(root: str) -> list[tuple[str, int, int]]:
+    """(path below root, bytes, time of change) of all files under root in order, without links."""
     from pyarrow import fs
 
     store, base = file_system(root)
     base = base.rstrip("/")
     if not isinstance(store, fs.LocalFileSystem):
         found = store.get_file_info(fs.FileSelector(base, recursive=True))
-        return sorted((f.path[len(base) + 1 :], f.size) for f in found if f.is_file)
+        return sorted((f.path[len(base) + 1 :], f.size, f.mtime_ns) for f in found if f.is_file)
     out = []
     for top, folders, names in os.walk(base):
         folders[:] = [d for d in folders if not os.path.islink(f"{top}/{d}")]
         for name in names:
             path = f"{top}/{name}"
             if not os.path.islink(path):
-                out.append((path[len(base) + 1 :], os.path.getsize(path)))
+                about = os.stat(path)
+                out.append((path[len(base) + 1 :], about.st_size, about.st_mtime_ns))
     if not os.path.isdir(base):
         raise FileNotFoundError(base)
     return sorted(out)
@@ -100,39 +102,52 @@ class FilesReader(DataSourceReader):
     def __init__(self, root: str, loaders: dict[str, Loader], most_bytes: int = PARTITION_BYTES, most_files: int = PARTITION_FILES, wanted: dict[str, list[str]] | None = None):
         self.root, self.loaders, self.most_bytes, self.most_files, self.wanted = root, loaders, most_bytes, most_files, wanted or {}
 
-    def partitions(self) -> list[Files]:
-        found = []
-        for source, size in listed(self.root):
-            name = source.rpartition("/")[2]
-            suffix = name.rpartition(".")[2].lower() if "." in name else ""
-            have = {"suffix": suffix, "category": category_of(source), "filename": name}
+    def about(self, source: str) -> tuple[str, str, str, str]:
+        """Source, filename, suffix and category."""
+        name = source.rpartition("/")[2]
+        return source, name, name.rpartition(".")[2].lower() if "." in name else "", category_of(source)
+
+    def found(self) -> Iterator[tuple[str, int, int]]:
+        """The listed files that are documents, and that no option leaves out."""
+        for source, size, time in listed(self.root):
+            _, name, suffix, category = self.about(source)
+            have = {"suffix": suffix, "category": category, "filename": name}
             if suffix in self.loaders and not name.startswith(".") and not source.startswith((ATTEMPTS, NOTE)) and all(have[k] in values for k, values in self.wanted.items()):
-                found.append((source, size))
-        return [Files(x) for x in dealt(found, self.most_bytes, self.most_files)]
+                yield source, size, time
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Files]:
+        return [Files(x) for x in dealt([f[:2] for f in self.found()], self.most_bytes, self.most_files)]
+
+    def rows(self, sources: list[str]) -> Iterator[tuple]:
+        """The columns of SCHEMA, and the digest of the file."""
         store, base = file_system(self.root)
+        for source in sources:
+            about, digest = self.about(source), None
+            try:
+                with store.open_input_file(f"{base.rstrip('/')}/{source}") as f:
+                    content = f.read()
+                digest = hashlib.sha256(content).hexdigest()
+                texts = self.loaders[about[2]](content)
+                found = [(*about, k, t, None, digest) for k, t in enumerate([texts] if isinstance(texts, str) else texts)]
+            except Exception as e:  # noqa: BLE001  a file that can't be read is a row that says so
+                found = [(*about, None, None, f"{type(e).__name__}: {e}", digest)]
+            yield from found
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(x.split()[0], pa.int32() if x.endswith("int") else pa.string()) for x in SCHEMA.split(", ")])
-        rows: list[tuple] = []
+        held: list[tuple] = []
         size = 0
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-        for source in partition.sources:
-            name = source.rpartition("/")[2]
-            about = (source, name, name.rpartition(".")[2].lower(), category_of(source))
-            try:
-                with store.open_input_file(f"{base.rstrip('/')}/{source}") as f:
-                    texts = self.loaders[about[2]](f.read())
-                rows += [(*about, k, t, None) for k, t in enumerate([texts] if isinstance(texts, str) else texts)]
-                size += sum(map(len, texts))
-            except Exception as e:  # noqa: BLE001  a file that can't be read is a row that says so
-                rows.append((*about, None, None, f"{type(e).__name__}: {e}"))
-            if size >= BATCH_BYTES or len(rows) >= 10_000:
+        for row in self.rows(partition.sources):
+            held.append(row[:7])
+            size += len(row[5] or "")
+            if size >= BATCH_BYTES or len(held) >= 10_000:
                 yield batch()
-                rows, size = [], 0
-        if rows:
+                held, size = [], 0
+        if held:
             yield batch()
 
 
@@ -233,6 +248,75 @@ class FilesWriter(DataSourceArrowWriter):
             store.delete_dir(folder)
 
 
+@dataclass
+class Change(InputPartition):
+    sources: list[str]
+    vanished: bool
+
+
+CHANGES = SCHEMA + ", vanished boolean, digest string"
+
+
+class FilesWatcher(DataSourceStreamReader):
+    """A stream of changes of a tree: rows of files that are new or have another size or time, and a row
+    for each that has vanished. An offset is the number of a listing, which lies in the folder `state`
+    until the batch that it ends is committed; what a batch holds is the difference of two listings."""
+
+    def __init__(self, reader: FilesReader, state: str):
+        self.reader, self.state = reader, state
+        self.now: int | None = None
+
+    def _listing(self, number: int) -> dict[str, list]:
+        store, base = file_system(self.state)
+        if not number:
+            return {}
+        with store.open_input_file(f"{base}/listing-{number:010d}.json") as f:
+            return json.loads(f.read())
+
+    def initialOffset(self) -> dict:
+        return {"listing": 0}
+
+    def latestOffset(self) -> dict:
+        from pyarrow import fs
+
+        store, base = file_system(self.state)
+        store.create_dir(base, recursive=True)
+        if self.now is None:
+            have = [f.base_name for f in store.get_file_info(fs.FileSelector(base)) if f.base_name.startswith("listing-") and f.base_name.endswith(".json")]
+            self.now = max((int(x[8:18]) for x in have), default=0)
+        found = {source: [size, time] for source, size, time in self.reader.found()}
+        if found != self._listing(self.now):
+            draft = f"{base}/draft-{uuid.uuid4().hex}"
+            with store.open_output_stream(draft) as out:
+                out.write(json.dumps(found).encode())
+            store.move(draft, f"{base}/listing-{self.now + 1:010d}.json")
+            self.now += 1
+        return {"listing": self.now}
+
+    def partitions(self, start: dict, end: dict) -> list[Change]:
+        before, after = self._listing(start["listing"]), self._listing(end["listing"])
+        changed = [(s, x[0]) for s, x in sorted(after.items()) if before.get(s) != x]
+        gone = [(s, 0) for s in sorted(before) if s not in after]
+        cut = lambda files: dealt(files, self.reader.most_bytes, self.reader.most_files)
+        return [Change(x, False) for x in cut(changed)] + [Change(x, True) for x in cut(gone)]
+
+    def read(self, partition: Change) -> Iterator[tuple]:
+        if partition.vanished:
+            for source in partition.sources:
+                yield (*self.reader.about(source), None, None, None, True, None)
+        else:
+            for row in self.reader.rows(partition.sources):
+                yield (*row[:7], False, row[7])
+
+    def commit(self, end: dict) -> None:
+        from pyarrow import fs
+
+        store, base = file_system(self.state)
+        for f in store.get_file_info(fs.FileSelector(base)):
+            if f.base_name.startswith("listing-") and int(f.base_name[8:18]) < end["listing"]:
+                store.delete_file(f.path)
+
+
 class DocumentFiles(DataSource):
     loaders = LOADERS
 
@@ -241,7 +325,10 @@ class DocumentFiles(DataSource):
         return "document_files"
 
     def schema(self) -> str:
-        return SCHEMA
+        return CHANGES if "state" in self.options else SCHEMA
+
+    def streamReader(self, schema) -> FilesWatcher:
+        return FilesWatcher(self.reader(schema), self.options["state"])
 
     def reader(self, schema) -> FilesReader:
         wanted = {k: self.options[k].split(",") for k in ("suffix", "category", "filename") if k in self.options}
