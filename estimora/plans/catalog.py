@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from estimora.plans import dialogue, estimation, events, knowledge
+from estimora.plans import dialogue, estimation, events, files, knowledge, search
 from estimora.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "dialogue", "estimation", "events", "knowledge"]
+__all__ = ["ORACLES", "QUERIES", "dialogue", "estimation", "events", "files", "knowledge", "search"]

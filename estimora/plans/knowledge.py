@@ -56,8 +56,11 @@ def vector_topk(spark, sf_dir):
     return hits.select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("vector_topk_batch", f"""SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS rank
-  FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) WHERE rank <= 5""")
+TOPK_BATCH = f"""SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS rank
+  FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) WHERE rank <= 5"""
+
+
+@query("vector_topk_batch", TOPK_BATCH)
 def vector_topk_batch(spark, sf_dir):
     """Every hundredth vector as a query against all."""
     e = table(spark, sf_dir, "embeddings")
