@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 1000, 200
@@ -56,3 +56,16 @@ def chunked(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFr
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "chunk"])
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunk_no int, chunk string")
+
+
+class ChunksOf:
+    """Rows of SQL for each text: `LATERAL recursive_chunks(text)`, once register() was called; a null
+    text has none."""
+
+    def eval(self, text: str) -> Iterator[tuple[int, str]]:
+        yield from enumerate(recursive_chunks(text or ""))
+
+
+def register(spark: SparkSession) -> None:
+    """Make recursive_chunks known to the session's SQL."""
+    spark.udtf.register("recursive_chunks", F.udtf(ChunksOf, returnType="chunk_no int, chunk string"))
