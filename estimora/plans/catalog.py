@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from estimora.plans import dialogue, estimation, events, files, knowledge, rules, search
+from estimora.plans import dialogue, documents, estimation, events, files, knowledge, rules, search
 from estimora.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "dialogue", "estimation", "events", "files", "knowledge", "rules", "search"]
+__all__ = ["ORACLES", "QUERIES", "dialogue", "documents", "estimation", "events", "files", "knowledge", "rules", "search"]

@@ -78,14 +78,14 @@ def _given(c, prefix):
 
 
 _C = "compliance_requirements"
-_QUERIES = (
+QUERIES_SQL = (
     f"concat_ws(' | ', concat('Test strategy for ', project_type, ' application'), concat('methodology ', methodology), {_given('known_risks', 'risks: ')}, {_said(_C, NOTHING, 'compliance: ')}, {_said('existing_automation', NO_TESTS, 'automation: ')}) AS strategy_query, "
     f"concat_ws(' | ', concat('risk based testing ', project_type), concat('testing risks ', methodology), {_said(_C, NOTHING, 'compliance risks ')}, {_given('known_risks', 'risk analysis ')}, {_given('tech_stack', 'testing risks ')}) AS risk_query, "
     f"concat_ws(' | ', concat('test plan IEEE 829 ', project_type), concat('test plan structure entry exit criteria ', methodology), 'AI assisted test planning human oversight', {_said(_C, NOTHING, 'test plan compliance ')}, {_given('tech_stack', 'test plan tools ')}) AS plan_query"
 )
 
 
-@query("rag_queries", f"WITH projects AS ({PROJECTS_SQL}) SELECT project_id, {_QUERIES} FROM projects")
+@query("rag_queries", f"WITH projects AS ({PROJECTS_SQL}) SELECT project_id, {QUERIES_SQL} FROM projects")
 def rag_queries(spark, sf_dir):
     return projects(spark, sf_dir).select("project_id", prompts.strategy_query().alias("strategy_query"), prompts.risk_query().alias("risk_query"), prompts.plan_query().alias("plan_query"))
 

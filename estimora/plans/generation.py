@@ -2,47 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estimora.functions.text import blank
-from estimora.operators import embedding, estimate, generation, prompts, report, retrieval
+from estimora.operators import embedding, estimate, generation, lexical, prompts, report, retrieval
 
 KINDS = ("risk", "strategy", "plan")
+#: (queries(query_id, text), chunks, k) to query_id, vec_id and rank.
+Retrieve = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
+def by_vectors(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """By cosine of hashed words, or of the chunks' own embeddings' model where they have one."""
+    asked = embedding.hashed(queries).select("query_id", F.col("embedding").alias("query"))
+    vectors = chunks if "embedding" in chunks.columns else embedding.hashed(chunks)
+    return retrieval.top_k(asked, vectors.select("vec_id", "embedding"), k).select("query_id", "vec_id", "rank")
+
 
+def by_terms(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """By BM25 of the chunks' terms."""
+    index = lexical.build(chunks.select(F.col("vec_id").alias("doc_id"), "text"))
+    return lexical.search(index, queries, k).select("query_id", F.col("doc_id").alias("vec_id"), "rank")
 
-def contexts(projects: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """project_id, and the context and sources of each kind of document.
 
-    Projects repeat their answers, so each distinct query is searched once.
-    """
+def contexts(projects: DataFrame, chunks: DataFrame, k: int = 5, retrieve: Retrieve = by_vectors) -> DataFrame:
+    """project_id, and the context and sources of each kind of document from chunks(vec_id, text,
+    category, filename). Projects repeat their answers, so each distinct query is searched once."""
     asked = projects.select("project_id", F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), q.alias("text")) for n, q in zip(KINDS, (prompts.risk_query(), prompts.strategy_query(), prompts.plan_query()), strict=True)))).alias("q")).select("project_id", "q.*")
     distinct = asked.select("text").distinct().withColumn("query_id", F.xxhash64("text"))
-    queries = embedding.hashed(distinct).select("query_id", F.col("embedding").alias("query"))
-    vectors = embedding.hashed(docs).select(F.col("doc_id").alias("vec_id"), "embedding")
-    hits = retrieval.top_k(queries, vectors, k)
-    known = docs.select(F.col("doc_id").alias("vec_id"), "text", F.lit(None).cast("string").alias("category"), F.col("source").alias("filename"))
-    found = retrieval.context(hits.join(known, "vec_id"))
+    hits = retrieve(distinct, chunks, k)
+    found = retrieval.context(hits.join(chunks.select("vec_id", "text", "category", "filename"), "vec_id"))
     each = asked.withColumn("query_id", F.xxhash64("text")).join(found, "query_id", "left")
+    # a context is k chunks at most, whatever the length of the documents
     return each.groupBy("project_id").pivot("kind", list(KINDS)).agg(F.first("context").alias("context"), F.first("sources").alias("sources"))
 
 
-def documents_of(projects: DataFrame, docs: DataFrame, providers=None) -> DataFrame:
-    """project_id, document_type, body and error of the four documents; a step that fails leaves an
-    empty body, and later ones go on without it. A blank strategy is an error, as a strategy is
-    what the rest is made for."""
+def documents_of(projects: DataFrame, chunks: DataFrame | None = None, providers=None, fetched: DataFrame | None = None, at: Column | None = None, k: int = 5, retrieve: Retrieve = by_vectors, limits=generation.Limits(), policy=generation.Policy()) -> DataFrame:
+    """project_id, document_type, file_name, body, sources and error of the four documents; a step that
+    fails leaves an empty body, and later ones go on without it. A blank strategy is an error, as a
+    strategy is what the rest is made for. `fetched` takes the place of retrieval: what contexts() gives.
+    Names are made of type, project and `at`, null where nothing was generated; an estimate has no
+    sources."""
     text = lambda c: F.coalesce(c, F.lit(""))
-    rows = projects.join(contexts(projects, docs), "project_id", "left")
-    rows = rows.withColumn("risk_prompt", prompts.risk_prompt(text(F.col("risk_context"))))
-    rows = generation.generated(rows, "risk_prompt", providers, "register").withColumn("register", text(F.col("register")))
-    rows = estimate.estimated(rows, "register").withColumn("told_prompt", prompts.narrative_prompt())
-    rows = generation.generated(rows, "told_prompt", providers, "told")
+    ask = lambda rows, prompt, out: generation.generated(rows, prompt, providers, out, limits, policy)
+    if fetched is None:
+        fetched = contexts(projects, chunks, k, retrieve)
+    rows = projects.join(fetched, "project_id", "left")
+    rows = ask(rows.withColumn("risk_prompt", prompts.risk_prompt(text(F.col("risk_context")))), "risk_prompt", "register").withColumn("register", text(F.col("register")))
+    rows = ask(estimate.estimated(rows, "register").withColumn("told_prompt", prompts.narrative_prompt()), "told_prompt", "told")
     rows = rows.withColumns({"strategy_prompt": prompts.strategy_prompt(text(F.col("strategy_context"))), "plan_prompt": prompts.plan_prompt(text(F.col("plan_context")), F.col("register"))})
-    rows = generation.generated(generation.generated(rows, "strategy_prompt", providers, "strategy"), "plan_prompt", providers, "plan")
+    rows = ask(ask(rows, "strategy_prompt", "strategy"), "plan_prompt", "plan")
     empty = F.when(blank(F.col("strategy")), F.concat(F.lit("empty test strategy for "), "project_name"))
+    none = F.array().cast("array<string>")
     found = (
-        ("risk_register", F.col("register"), F.col("register_error")), ("test_strategy", F.when(~blank(F.col("strategy")), F.col("strategy")), F.coalesce("strategy_error", empty)),
-        ("effort_estimation", report.report(F.col("told")), F.col("told_error")), ("test_plan", F.col("plan"), F.col("plan_error")),
+        ("risk_register", F.col("register"), F.col("register_error"), F.col("risk_sources")), ("test_strategy", F.when(~blank(F.col("strategy")), F.col("strategy")), F.coalesce("strategy_error", empty), F.col("strategy_sources")),
+        ("effort_estimation", report.report(F.col("told")), F.col("told_error"), none), ("test_plan", F.col("plan"), F.col("plan_error"), F.col("plan_sources")),
     )
-    bodies = F.array(*(F.struct(F.lit(kind).alias("document_type"), text(body).alias("body"), error.alias("error")) for kind, body, error in found))
+    when = F.current_timestamp() if at is None else at
+    name = lambda kind, body: F.when(text(body) != "", report.file_name(kind, F.col("project_name"), when))
+    bodies = F.array(*(F.struct(F.lit(kind).alias("document_type"), name(kind, body).alias("file_name"), text(body).alias("body"), F.coalesce(sources, none).alias("sources"), error.alias("error")) for kind, body, error, sources in found))
     return rows.select("project_id", F.inline(bodies))

@@ -9,6 +9,7 @@ from estimora.functions.text import html_escaped, otherwise, safe_name, section,
 from estimora.operators import ask, chunking, embedding, estimate, feedback, generation, prompts, report, retrieval
 from estimora.plans.dialogue import SUMMARY_SQL
 from estimora.plans.registry import query
+from estimora.plans.report_sql import activity_lists, report_sql
 from estimora.plans.sql import ESTIMATES, with_tenths
 from estimora.sources.corpus import CATEGORIES, category_of, read_vectors, write_vectors
 from estimora.sources.projects import projects
@@ -169,6 +170,13 @@ def front_matter_roundtrip(spark, sf_dir):
     return written.select("doc_id", F.length("doc").cast("long").alias("n_written"), without_front_matter(F.col("doc")).alias("body"))
 
 
+@query("report_hash", with_tenths(f"{ESTIMATES}, {activity_lists()} SELECT project_id, length(r) AS n_chars, sha256(r) AS digest FROM (SELECT project_id, {report_sql()} AS r FROM est LEFT JOIN acts USING (project_id))"))
+def report_hash(spark, sf_dir):
+    """Whole reports, each as a digest."""
+    out = estimate.estimated(projects(spark, sf_dir)).select("project_id", report.report().alias("r"))
+    return out.select("project_id", F.length("r").cast("long").alias("n_chars"), F.sha2(F.col("r"), 256).alias("digest"))
+
+
 @query("report_markdown", f"""{ESTIMATES} SELECT project_id, concat('| **Final Effort Range** | ', printf('%.1f', final_min), ' – ', printf('%.1f', final_max), ' person-days |') AS range_line,
   CASE WHEN gap >= 0 THEN concat('✅ Surplus: ', printf('%.1f', gap), ' days') ELSE concat('⚠️ Deficit: ', printf('%.1f', abs(gap)), ' days') END AS gap_line, 8 AS n_sections FROM est""")
 def report_markdown(spark, sf_dir):
@@ -214,15 +222,6 @@ def section_extract(spark, sf_dir):
     return told.select("project_id", *(otherwise(section(F.col("reply"), name), report.DEFAULTS[name]).alias(name.lower()) for name in report.DEFAULTS))
 
 
-@query("generate_all")
-def generate_all(spark, sf_dir):
-    """The four documents of each project: retrieval, risk register, estimate, strategy and plan."""
-    from estimora.plans.generation import documents_of
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return documents_of(projects(spark, sf_dir), docs)
-
-
 @query("index_statistics", "SELECT label, count(*) AS n, min(len(embedding)) AS dims FROM embeddings GROUP BY 1")
 def index_statistics(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("dims"))

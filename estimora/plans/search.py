@@ -22,11 +22,17 @@ def _terms(text):
     return rf"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
-@query("bm25_topk", f"""WITH t AS (SELECT doc_id, unnest({_terms("text")}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-  l AS (SELECT doc_id, sum(tf) AS length FROM c GROUP BY 1), s AS (SELECT count(*) AS n, sum(length) / count(*) AS mean FROM l), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
-  p AS (SELECT doc_id, term, CAST(round(ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / mean))) * 1e6) AS BIGINT) AS impact FROM c JOIN l USING (doc_id) JOIN d USING (term), s),
-  q AS (SELECT DISTINCT item_id, unnest({_terms("text")}) AS term FROM benchmark), r AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN p USING (term) GROUP BY ALL)
-  SELECT * FROM (SELECT item_id AS query_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 5""")
+def bm25_sql(docs: str, doc_id: str, queries: str, query_id: str, name: str, k: int = 5) -> str:
+    """Common table expressions that end with `name`: query_id, doc_id, score and rank by BM25."""
+    t = f"{name}_"
+    return f"""{t}t AS (SELECT {doc_id} AS doc_id, unnest({_terms("text")}) AS term FROM {docs}), {t}c AS (SELECT doc_id, term, count(*) AS tf FROM {t}t GROUP BY ALL),
+  {t}l AS (SELECT doc_id, sum(tf) AS length FROM {t}c GROUP BY 1), {t}s AS (SELECT count(*) AS n, sum(length) / count(*) AS mean FROM {t}l), {t}d AS (SELECT term, count(*) AS df FROM {t}c GROUP BY 1),
+  {t}p AS (SELECT doc_id, term, CAST(round(ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / mean))) * 1e6) AS BIGINT) AS impact FROM {t}c JOIN {t}l USING (doc_id) JOIN {t}d USING (term), {t}s),
+  {t}q AS (SELECT DISTINCT {query_id}, unnest({_terms("text")}) AS term FROM {queries}), {t}r AS (SELECT {query_id}, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM {t}q JOIN {t}p USING (term) GROUP BY ALL),
+  {name} AS (SELECT * FROM (SELECT {query_id}, doc_id, score, row_number() OVER (PARTITION BY {query_id} ORDER BY score DESC, doc_id) AS rank FROM {t}r) WHERE rank <= {k})"""
+
+
+@query("bm25_topk", f"WITH {bm25_sql('documents', 'doc_id', 'benchmark', 'item_id', 'hits')} SELECT item_id AS query_id, doc_id, score, rank FROM hits")
 def bm25_topk(spark, sf_dir):
     """The five documents with the highest BM25 scores for each benchmark text."""
     index = lexical.build(table(spark, sf_dir, "documents"))

@@ -80,8 +80,9 @@ def with_tenths(sql: str) -> str:
     return sql
 
 
-#: Common table expressions up to `pert` (a row for each project and activity) and `est` (for each project).
-ESTIMATES = with_tenths(f"""WITH projects AS ({PROJECTS_SQL}),
+def estimates(buffer: str = "pert_e * 0.15e0") -> str:
+    """Common table expressions up to `pert` (a row for each project and activity) and `est` (for each project)."""
+    return with_tenths(f"""WITH projects AS ({PROJECTS_SQL}),
 dim(ptype, meth, pct_min, pct_max) AS (VALUES {values(BASELINE)}),
 act(ord, activity, lo, hi) AS (VALUES {values(ACTIVITIES)}),
 cls AS (SELECT *, {kind('project_type', w.TYPE_WORDS, 'default')} AS ptype, {kind('methodology', w.METHOD_WORDS, '')} AS meth,
@@ -101,7 +102,7 @@ pert AS (SELECT *, tenth((o + m * 4 + p) / 6, 1) AS e, tenth((p - o) / 6, 1) AS
 sums AS (SELECT project_id, list_reduce(list(o ORDER BY ord), lambda a, x: a + x) AS so, list_reduce(list(m ORDER BY ord), lambda a, x: a + x) AS sm, list_reduce(list(p ORDER BY ord), lambda a, x: a + x) AS sp FROM pert GROUP BY project_id),
 exp AS (SELECT a.*, tenth(so, 1) AS pert_o, tenth(sm, 1) AS pert_m, tenth(sp, 1) AS pert_p, tenth((so + sm * 4 + sp) / 6, 1) AS pert_e, tenth((sp - so) / 6, 1) AS pert_sd,
   tenth(CAST(qa * days AS DOUBLE) * 0.75e0, 1) AS available FROM adj a JOIN sums USING (project_id)),
-buf AS (SELECT *, tenth(available - pert_e, 1) AS gap, tenth(pert_e * 0.15e0, 1) AS buffer,
+buf AS (SELECT *, tenth(available - pert_e, 1) AS gap, tenth({buffer}, 1) AS buffer,
   {' + '.join(points(c) for c in ('timeline', 'team_qa_size', 'team_dev_size', 'compliance_requirements', 'existing_automation'))} AS quality FROM exp),
 fin AS (SELECT *, tenth(pert_o + buffer * 0.5e0, 1) AS final_min, tenth(pert_p + buffer, 1) AS final_max, (pert_p - pert_o) / nullif(pert_e, 0) AS spread, gap / nullif(pert_e, 0) AS slack FROM buf),
 scored AS (SELECT *, CASE WHEN pert_e <= 0 THEN 0 WHEN spread < 1 THEN 40 WHEN spread < 2 THEN CAST(trunc(40 - (spread - 1) * 20) AS INTEGER) WHEN spread < 3 THEN CAST(trunc(20 - (spread - 2) * 15) AS INTEGER) ELSE 0 END
@@ -109,3 +110,6 @@ scored AS (SELECT *, CASE WHEN pert_e <= 0 THEN 0 WHEN spread < 1 THEN 40 WHEN s
   + least(20, greatest(0, quality)) + greatest(0, 10 - CAST(trunc(mult_total / 10) AS INTEGER)) AS score FROM fin),
 est AS (SELECT *, CASE WHEN score >= 70 THEN 'High' WHEN score >= 40 THEN 'Medium' ELSE 'Low' END AS label FROM scored)
 """)
+
+
+ESTIMATES = estimates()

@@ -23,7 +23,7 @@ def rows(frame):
     return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"generate_all"}))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     found = catalog.QUERIES[name](spark, D).toPandas()
     if name in catalog.ORACLES:

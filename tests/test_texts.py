@@ -215,7 +215,7 @@ def test_blank_strategy_is_an_error(spark):
     from estimora.plans.generation import documents_of
     from estimora.sources.projects import projects
 
-    docs = spark.createDataFrame([(1, "risk based testing", "s")], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(1, "risk based testing", "c", "s")], "vec_id long, text string, category string, filename string")
     found = {r["document_type"]: r for r in documents_of(projects(spark, "/root/testdata/sf0.001").limit(1), docs, [lambda: lambda p: " \n"]).collect()}
     assert len(found) == 4 and found["test_strategy"]["body"] == "" and found["test_strategy"]["error"].startswith("empty test strategy for Project")
     assert found["effort_estimation"]["body"].startswith("# Effort") and found["effort_estimation"]["error"] is None
@@ -260,3 +260,41 @@ def test_stream(spark, tmp_path):
     q = ingest.ingest(ingest.document_stream(spark, str(tmp_path / "in"), "doc_id long, text string"), lambda df, n: got.extend(df.select("id").collect()), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert sorted(r["id"] for r in got) == ["chunk_1_0", "chunk_1_1"]
+
+
+def test_fetched_contexts_take_the_place_of_retrieval(spark):
+    """Contexts that are given are used as they are: nothing is retrieved, prompts and sources show them."""
+    from estimora.plans.generation import contexts, documents_of
+    from estimora.sources.projects import projects
+
+    some = projects(spark, "/root/testdata/sf0.001").limit(2)
+    at = F.to_timestamp(F.lit("2026-02-23 12:00:00"))
+    given = some.select("project_id", *(F.lit(f"the {k} context").alias(f"{k}_context") for k in ("risk", "strategy", "plan")), *(F.array(F.lit(f"[General] {k}.md")).alias(f"{k}_sources") for k in ("risk", "strategy", "plan")))
+    rows = documents_of(some, providers=[lambda: lambda p: f"told {p}"], fetched=given, at=at).collect()
+    assert len(rows) == 8
+    for r in rows:
+        assert r["file_name"].startswith(f"{r['document_type']}_Project_") and r["file_name"].endswith("_20260223_120000.md") and r["error"] is None
+        kind = {"risk_register": "risk", "test_strategy": "strategy", "test_plan": "plan"}.get(r["document_type"])
+        assert r["sources"] == ([f"[General] {kind}.md"] if kind else []) and (not kind or f"the {kind} context" in r["body"])
+    chunks = spark.createDataFrame([(k, f"risk based testing chunk {k}", "Standard", f"{k}.md") for k in range(9)], "vec_id long, text string, category string, filename string")
+    found = contexts(some, chunks, 3).collect()
+    assert all(r["risk_context"].count("[Source ") == 3 and len(r["risk_sources"]) == 3 for r in found)
+    same = documents_of(some, chunks, at=at).select("project_id", "document_type", "body").collect()
+    assert sorted(same) == sorted(documents_of(some, fetched=contexts(some, chunks), at=at).select("project_id", "document_type", "body").collect())
+
+
+def test_accepted_documents_are_found_by_the_next_ingest(spark, tmp_path):
+    from estimora.sources import document_files, vectors
+    from estimora.streaming import watch
+
+    root = tmp_path / "kb"
+    (root / "standards").mkdir(parents=True)
+    (root / "standards/a.md").write_text("A standard")
+    rows = spark.createDataFrame([("s1", "s1.md", "yes", None, "---\nx: y\n---\n\nGood strategy"), ("s2", "s2.md", "no", "n", "Bad"), ("s3", "s3.md", "partially", "more detail", "Fair"), ("s4", "s4.md", "partially", " ", "No note")], "strategy_id string, file_name string, feedback string, notes string, body string")
+    feedback.kept(rows, str(root), notes_needed=True)
+    docs = {r["source"]: (r["category"], r["text"]) for r in document_files.read_documents(spark, str(root))[0].collect()}
+    assert docs == {"standards/a.md": ("Standard", "A standard"), "generated_strategies/s1.md": ("General", "---\nfeedback: yes\nnotes: \n---\n\nGood strategy"), "generated_strategies/s3.md": ("General", "---\nfeedback: partially\nnotes: more detail\n---\n\nFair")}
+    watch.ingested(spark, str(root), str(tmp_path / "v"))
+    feedback.kept(rows.filter("strategy_id = 's1'").withColumn("body", F.lit("Better")), str(root))
+    assert watch.ingested(spark, str(root), str(tmp_path / "v")) == {"embedded": 1, "removed": 0, "kept": 2}
+    assert vectors.current(spark, str(tmp_path / "v")).filter("text LIKE '%Better'").count() == 1
