@@ -64,9 +64,19 @@ def template_overlay(spark, sf_dir):
     return out.select("project_id", "choice", "project_type", "timeline", "team_qa_size")
 
 
-@query("template_options", f"SELECT * FROM (VALUES (0, {quoted(dims.NO_TEMPLATE)}, CAST(NULL AS VARCHAR)), {', '.join(f'({k}, {quoted(t[1])}, {quoted(t[0])})' for k, t in enumerate(dims.TEMPLATES, 1))}) AS v(ord, label, template)")
+_CHOICE = "(['web_app', 'mobile_app', 'microservices', 'automotive', NULL])[CAST(project_id % 5 + 1 AS INTEGER)]"
+
+
+@query("template_options", f"""WITH projects AS ({PROJECTS_SQL}), c AS (SELECT {_CHOICE} AS template, count(*) AS n FROM projects GROUP BY 1),
+  v(ord, label, template) AS (VALUES (0, {quoted(dims.NO_TEMPLATE)}, CAST(NULL AS VARCHAR)), {', '.join(f'({k}, {quoted(t[1])}, {quoted(t[0])})' for k, t in enumerate(dims.TEMPLATES, 1))})
+  SELECT v.ord, v.label, v.template, coalesce(n, 0) AS n_projects FROM v LEFT JOIN c ON v.template IS NOT DISTINCT FROM c.template""")
 def template_options(spark, sf_dir):
-    return dims.template_options(spark)
+    """The options of the first question, with the number of projects that choose each."""
+    choice = F.element_at(F.array(*(F.lit(t[0]) for t in dims.TEMPLATES), F.lit(None)), (F.col("project_id") % 5 + 1).cast("int"))
+    chosen = projects(spark, sf_dir).groupBy(choice.alias("chosen")).agg(F.count("*").alias("n"))
+    options = F.broadcast(dims.template_options(spark))
+    out = options.join(chosen, options["template"].eqNullSafe(chosen["chosen"]), "left")
+    return out.select("ord", "label", "template", F.coalesce("n", F.lit(0)).alias("n_projects"))
 
 
 def _said(c, nothing, prefix):
