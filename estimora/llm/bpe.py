@@ -47,12 +47,12 @@ class PairIndex:
     """Merges by rank over many words at once."""
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
-        self.ranks: dict[tuple[int, int], int] = {}
+        self.ranks: dict[int, int] = {}  # by both ids in one number
         self.made: list[int] = []
         self.parts: list[tuple[int, int]] = []
         for pair in merges:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault((vocab[a], vocab[b]), len(self.made))
+            self.ranks.setdefault(vocab[a] << 32 | vocab[b], len(self.made))
             self.parts.append((vocab[a], vocab[b]))
             self.made.append(vocab[a + b])
         names = byte_symbols()
@@ -64,7 +64,7 @@ class PairIndex:
         after: list[int] = []
         before: list[int] = []
         starts: list[int] = []
-        inner, last, ranks = self.inner, self.last, self.ranks
+        inner, last, rank_of = self.inner, self.last, self.ranks.get
         where: dict[int, list[int]] = {}
         for word in words:
             raw, at = word.encode(), len(symbols)
@@ -76,10 +76,16 @@ class PairIndex:
             after.append(-1)
             before.append(-1)
             before += range(at, end - 1)
+            a = symbols[at]
             for p in range(at, end - 1):
-                r = ranks.get((symbols[p], symbols[p + 1]))
+                b = symbols[p + 1]
+                r = rank_of(a << 32 | b)
                 if r is not None:
-                    where.setdefault(r, []).append(p)
+                    if r in where:
+                        where[r].append(p)
+                    else:
+                        where[r] = [p]
+                a = b
         active = list(where)
         heapq.heapify(active)
         while active:
@@ -93,7 +99,7 @@ class PairIndex:
                 after[p] = n = after[q]
                 if n >= 0:
                     before[n] = p
-                    s = ranks.get((made, symbols[n]))
+                    s = rank_of(made << 32 | symbols[n])
                     if s is not None:
                         if s in where:
                             where[s].append(p)
@@ -102,7 +108,7 @@ class PairIndex:
                             heapq.heappush(active, s)
                 m = before[p]
                 if m >= 0:
-                    s = ranks.get((symbols[m], made))
+                    s = rank_of(symbols[m] << 32 | made)
                     if s is not None:
                         if s in where:
                             where[s].append(m)
@@ -153,6 +159,7 @@ class Bpe:
         self.blank = regex.compile(r"\s+")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.word_ids: dict[str, bytes] = {}
 
     def _classes(self, path: str) -> None:
         """Patterns of words: the file's own, and one for pieces with characters of Unicode versions
@@ -188,10 +195,20 @@ class Bpe:
     def _learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
         found = [(self.words if latin(p) or not self.later.search(p) else self.later_words).findall(p) for p in new]
-        distinct = list(dict.fromkeys(w for ws in found for w in ws))
-        ids = dict(zip(distinct, self.pairs.encode(distinct), strict=True))
+        # words come back in other pieces, with other signs around them
+        if len(self.word_ids) > CACHE_ENTRIES:
+            self.word_ids.clear()
+        ids = self.word_ids
+        distinct = list(dict.fromkeys(w for ws in found for w in ws if w not in ids))
+        codes = self.pairs.encode(distinct)
+        data = memoryview(np.array([k for c in codes for k in c], "<u4").tobytes())
+        at = 0
+        for w, c in zip(distinct, codes, strict=True):
+            end = at + 4 * len(c)
+            ids[w] = bytes(data[at:end])
+            at = end
         for p, ws in zip(new, found, strict=True):
-            self.known[p] = np.array([k for w in ws for k in ids[w]], "<u4").tobytes()
+            self.known[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
@@ -262,6 +279,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        codec(tokenizer).known.clear()  # the worker lives on, and what it does next needs the memory
+        codec(tokenizer).known.clear()
+        codec(tokenizer).word_ids.clear()  # the worker lives on, and what it does next needs the memory
 
     return bounded(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
