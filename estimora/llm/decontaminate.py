@@ -49,8 +49,9 @@ SCHEMA = "doc_id long, item_id long, start_word long, n_words long, distance lon
 SEED, WALKS, PLACES = 3, 4, 2
 #: Rounds at most, beyond which every window is verified, and items of a length that are edited to know.
 MOST_ROUNDS, TRIED = 160, 30
-#: Benchmark rows of a part (about), and bytes of texts that a task holds while it goes through the parts.
-ITEMS_AT_ONCE, HELD_BYTES = 20_000, 8_000_000
+#: Benchmark rows of a part (about), bytes of texts that a task holds while it goes through one part, and
+#: times as many that it holds at most if there are more, so that they are read less often.
+ITEMS_AT_ONCE, HELD_BYTES, HELD_TIMES = 20_000, 8_000_000, 6
 
 
 def edit_distance(item: np.ndarray, text: np.ndarray, limit: int) -> int:
@@ -263,7 +264,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.2,
 
     dealt = known.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(max(1, parts))))
     dealt.groupBy("part").applyInArrow(prepare, "data binary").write.parquet(folder)
-    return bounded(docs).select("doc_id", "text").mapInArrow(_searcher(folder), SCHEMA)
+    return bounded(docs).select("doc_id", "text").mapInArrow(_searcher(folder, HELD_BYTES * max(1, min(parts, HELD_TIMES))), SCHEMA)
 
 
 _last: dict[str, Items] = {}
@@ -288,23 +289,23 @@ def read_parts(folder: str) -> Iterator[Items]:
                         yield _last[key]
 
 
-def held(chunks: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+def held(chunks: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
     some, size = [], 0
     for chunk in chunks:
         some.append(chunk)
         size += chunk.nbytes
-        if size >= HELD_BYTES:
+        if size >= most:
             yield some
             some, size = [], 0
     if some:
         yield some
 
 
-def _searcher(folder: str):
+def _searcher(folder: str, most: int):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in held(row_chunks(batches, "text")):
+        for some in held(row_chunks(batches, "text"), most):
             texts = [(chunk, *words(*text_bytes(chunk.column("text")), "letters")[:2]) for chunk in some]
             for items in read_parts(folder):
                 for chunk, hashes, rows in texts:

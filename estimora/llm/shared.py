@@ -55,8 +55,8 @@ ARROW_ROWS = 1000
 
 
 def bounded(texts: DataFrame) -> DataFrame:
-    """The same rows, for a step in Python: the session's batches are cut to ARROW_ROWS rows where
-    they are longer, since its default of 10,000 rows has no bound in bytes."""
+    """The same rows, for a step in Python. The session's batches are cut to ARROW_ROWS rows where they
+    are longer: Spark's own bound of 64 MB a batch would be held several times over by each worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(texts.sparkSession.conf.get(key))
     if not 0 < now <= ARROW_ROWS:

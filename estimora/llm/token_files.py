@@ -3,7 +3,8 @@
 Documents are ordered by id over all partitions, each partition writes one file of ids and one
 index, and the place of a file among all ids is a prefix sum over the files' totals. Defined
 results: a null text is an empty one and has the end id alone; rows of equal or null ids are all
-written (nulls first, ties by text); an empty table makes no file. Other columns are ignored.
+written (nulls first, ties by text); texts of any length are encoded whole; an empty table makes no
+file. Other columns are ignored.
 
 Layout of NAME.idx, little-endian: uint64 number of documents n, n+1 uint64 offsets in ids from
 the start of NAME.bin, n int64 document ids, n bytes that are 1 where the id is null.
