@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -13,6 +14,10 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1_000_000
 
 
+#: Gives the allocator's free memory back, where the C library can.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def row_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` bytes in `column` and `rows` rows at most, so that memory doesn't follow the batch."""
     for batch in batches:
@@ -26,7 +31,10 @@ def row_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUN
             to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + limit, "right"))))
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # the worker lives on; its next task may do something else
+    # the worker lives on; its next task may do something else
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
