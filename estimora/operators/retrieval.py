@@ -46,12 +46,12 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[rank < k], columns[rank < k]
 
 
-def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def held(batches: Iterator[pa.RecordBatch], most: int = HELD_BYTES) -> Iterator[pa.Table]:
     some, size = [], 0
     for batch in batches:
         some.append(batch)
         size += batch.nbytes
-        if size >= HELD_BYTES:
+        if size >= most:
             yield pa.Table.from_batches(some).combine_chunks()
             some, size = [], 0
     if some:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from estimora.operators import cells, lexical, retrieval
@@ -70,3 +71,34 @@ def test_lexical_by_force(spark):
     every = spark.read.parquet(index.maxima).join(wanted, "term").select("query_id", "block").distinct().count()
     assert lexical.open_blocks(index, wanted, 1).count() < 0.85 * every  # words are dealt at random
     assert lexical.search(lexical.build(table.limit(0)), asked, 3).count() == 0 == lexical.search(index, asked.limit(0), 3).count()
+
+
+def test_lexical_for_stated_queries(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(300)]
+    docs = [(k, " ".join(words[min(299, x - 1)] for x in rng.zipf(1.2, rng.integers(1, 60)))) for k in range(600)] + [(900, None), (901, "..."), (None, "w1"), (902, "Ünï w1-w2_W3"), (903, "same same"), (904, "same same"), (7, "w250 w1"), (7, "w2")]
+    queries = [(1, "w1 w2 w299"), (2, "w250 W7"), (3, None), (4, "nothing known"), (5, "ünï w5"), (6, "same"), (8, " ".join(words[:60]))] + [(k, " ".join(words[x] for x in rng.integers(0, 300, 5))) for k in range(10, 40)]
+    merged = {}
+    for d, t in docs:  # rows with one id are one document
+        merged[d] = f"{merged[d]} {t}" if d in merged else t
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    for most, cells in ((lexical.HELD_BYTES, lexical.CELLS), (2000, 3000)):  # at once, and in many parts
+        monkeypatch.setattr(lexical, "HELD_BYTES", most)
+        monkeypatch.setattr(lexical, "CELLS", cells)
+        for k in (1, 5, 2000):
+            found = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in lexical.top_k(table, asked, k).collect()}
+            assert found == by_force(merged.items(), queries, k)
+    assert lexical.top_k(table.limit(0), asked, 3).count() == 0 == lexical.top_k(table, asked.limit(0), 3).count()
+
+
+def test_pairs_of_query_and_posting_do_not_move(spark, tmp_path):
+    n, k = 20_000, 5
+    spark.createDataFrame([(q, ["every", f"w{q}"]) for q in range(20)], "query_id long, terms array<string>").write.parquet(str(tmp_path / "asked"))
+    terms = sorted(["every", *(f"w{q}" for q in range(20))])
+    spark.createDataFrame([(t,) for t in terms], "term string").write.parquet(str(tmp_path / "terms"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "length": pa.array([5 + x % 1000 for x in range(n)], pa.int64()), "terms": pa.array([[0, 0]] * n, pa.list_(pa.int32()))})
+    for idf in (1.0, 0.0):  # a term with an impact of 0 is found all the same
+        spark.createDataFrame([(t, idf) for t in range(21)], "number int, idf double").write.parquet(str(tmp_path / f"known{idf}"))
+        moved = sum(x.num_rows for x in lexical._scored(iter([batch]), *(str(tmp_path / x) for x in ("terms", f"known{idf}", "asked")), 500.0, k, 4_000_000, 40_000))
+        assert 20 * k <= moved <= 20 * k * 20  # of 400,000 pairs
