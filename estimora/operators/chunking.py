@@ -13,12 +13,13 @@ SIZE, OVERLAP = 1000, 200
 SEPARATORS = ("\n## ", "\n### ", "\n---", "\n\n", "\n", " ")
 
 
-def fixed_windows(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, chunk_no and chunk: windows of `size` characters, each `overlap` into the one before."""
+def fixed_windows(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, chunk_no and chunk: windows of `size` characters, each `overlap` into the one before; and
+    the columns `keep` of its document."""
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length("text") - overlap) / step) - 1).cast("int")
-    starts = docs.filter(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    return starts.select("doc_id", "chunk_no", F.col("text").substr(F.col("chunk_no") * step + 1, F.lit(size)).alias("chunk"))
+    starts = docs.filter(F.length("text") > 0).select("doc_id", "text", *keep, F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    return starts.select("doc_id", "chunk_no", F.col("text").substr(F.col("chunk_no") * step + 1, F.lit(size)).alias("chunk"), *keep)
 
 
 def pieces(text: str, size: int, separators=SEPARATORS) -> list[str]:

@@ -42,8 +42,8 @@ _ALL = with_tenths(f"""{estimates("least(7e0, pert_e * 0.35e0)")}, {activity_lis
 @query("generate_all", _ALL)
 def generate_all(spark, sf_dir):
     """The four documents of each project: retrieval of chunks, risk register, estimate, strategy and plan."""
-    docs = table(spark, sf_dir, "documents")
-    cut = chunking.fixed_windows(docs).join(docs.select("doc_id", F.col("lang").alias("category"), F.col("source").alias("filename")), "doc_id")
+    docs = table(spark, sf_dir, "documents").withColumnsRenamed({"lang": "category", "source": "filename"})
+    cut = chunking.fixed_windows(docs, keep=("category", "filename"))
     chunks = cut.select((F.col("doc_id") * CHUNKS_MOST + F.col("chunk_no")).alias("vec_id"), F.col("chunk").alias("text"), "category", "filename")
     found = documents_of(projects(spark, sf_dir), chunks, at=F.to_timestamp(F.lit("2026-02-23 12:00:00")), retrieve=by_terms)
     return found.select("project_id", "document_type", "file_name", "body", F.array_join("sources", ", ").alias("sources"))

@@ -283,6 +283,20 @@ def test_fetched_contexts_take_the_place_of_retrieval(spark):
     assert sorted(same) == sorted(documents_of(some, fetched=contexts(some, chunks), at=at).select("project_id", "document_type", "body").collect())
 
 
+def test_projects_of_one_file_are_dealt_to_tasks_and_contexts_joined_late(spark):
+    from estimora.plans.generation import documents_of
+    from estimora.sources.projects import projects
+
+    some = projects(spark, "/root/testdata/sf0.001")
+    assert some.rdd.getNumPartitions() == 1
+    chunks = spark.createDataFrame([(k, f"risk based testing chunk {k}", "Standard", f"{k}.md") for k in range(9)], "vec_id long, text string, category string, filename string")
+    made = documents_of(some, chunks)
+    tasks = {r["t"] for r in made.select(F.spark_partition_id().alias("t")).distinct().collect()}
+    assert len(tasks) >= 4 and made.count() == 4 * some.count()
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "pivot" not in plan and plan.count("Aggregate") == 0  # no project's contexts are grouped anew
+
+
 def test_accepted_documents_are_found_by_the_next_ingest(spark, tmp_path):
     from estimora.sources import document_files, vectors
     from estimora.streaming import watch
