@@ -53,7 +53,7 @@ def vectors_upserted(spark, sf_dir):
     path = new_path(spark, "namespace")
 
     def chunks(rows):
-        return chunking.fixed_windows(rows).withColumnRenamed("chunk", "text").join(rows.drop("text"), "doc_id")
+        return chunking.fixed_windows(rows, keep=("source", "category", "filename")).withColumnRenamed("chunk", "text")
 
     vectors.upsert(chunks(docs), path, embedding.hashed)
     changed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("changed "), "text")).otherwise(F.col("text"))

@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estimora.sources.corpus import vector_table
-from estimora.sources.shared import new_path
+from estimora.sources.shared import file_system, new_path
 
 #: Buckets of a namespace.
 BUCKETS = 64
@@ -88,6 +90,29 @@ def _bucket():
     return F.pmod(F.xxhash64("source"), F.lit(BUCKETS)).cast("int")
 
 
+def _without(rows: DataFrame, stale: str) -> DataFrame:
+    """rows with their bucket, but for the ids that the folder `stale` has of it. Rows stay where they are
+    read, which is by bucket: a task holds the ids of one bucket at a time."""
+
+    def ids(bucket: int) -> pa.ChunkedArray:
+        from pyarrow import fs, parquet
+
+        store, base = file_system(f"{stale}/bucket={bucket}")
+        found = [f.path for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".parquet")]
+        return pa.chunked_array([c for f in found for c in parquet.ParquetFile(store.open_input_file(f)).read(columns=["id"]).column("id").chunks], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            for bucket in batch.column("bucket").unique().to_pylist():
+                if bucket != at:
+                    at, held = bucket, ids(bucket)
+                mine = batch.filter(pc.equal(batch.column("bucket"), bucket))
+                yield mine.filter(pc.invert(pc.is_in(mine.column("id"), value_set=held)))
+
+    return rows.mapInArrow(run, f"{SCHEMA}, bucket int")
+
+
 def upsert(chunks: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], namespace: str = "knowledge-base", sources: DataFrame | None = None) -> dict[str, int]:
     """Make the namespace hold chunks(doc_id, chunk_no, text, source, category, filename) in place of
     what it has of `sources`(source), or of anything if that is None. `embed` adds an embedding to rows
@@ -96,27 +121,37 @@ def upsert(chunks: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame]
     number, buckets = version(spark, path, namespace)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     digest = F.sha2(F.concat_ws("\x1f", *(text(c) for c in ("text", "source", "category", "filename"))), 256)
-    written = new_path(spark, "chunks")
-    vector_table(chunks).select("id", F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_no").cast("int").alias("chunk_no"), "text", "source", "category", "filename", digest.alias("digest")).dropDuplicates(["id"]).write.parquet(written)
-    new, old = spark.read.parquet(written), _read(spark, folder, buckets)
-    known = old.select("id", "source", "digest")
-    fresh = new.join(known, ["id", "digest"], "left_anti")
+    written, changed, left = (new_path(spark, x) for x in ("chunks", "fresh", "stale"))
+    vector_table(chunks).select("id", F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_no").cast("int").alias("chunk_no"), "text", "source", "category", "filename", digest.alias("digest")).write.parquet(written)
+    new, known = spark.read.parquet(written), _read(spark, folder, buckets).select("id", "source", "digest")
+    if new.groupBy("id").count().filter("count > 1").limit(1).count():  # only ids are moved to know that
+        once = new_path(spark, "chunks")
+        new.dropDuplicates(["id"]).write.parquet(once)
+        new = spark.read.parquet(once)
+    fresh = new
+    if buckets:
+        new.select("id", "source", "digest").join(known, ["id", "digest"], "left_anti").select("id", "source").write.parquet(changed)
+        fresh = new.join(spark.read.parquet(changed).select("id"), "id", "left_semi")
+    ids = spark.read.parquet(changed) if buckets else new.select("id", "source")
     scope = known if sources is None else known.join(sources.select("source").distinct(), "source", "left_semi")
-    gone = scope.join(new, "id", "left_anti")
+    gone = scope.join(new, "id", "left_anti").select("id", "source", F.lit(True).alias("gone"))
     # a chunk that has changed is both embedded and removed; a moved one leaves its old bucket
-    stale = gone.select("id", "source").union(known.join(fresh.select("id"), "id", "left_semi").select("id", "source"))
-    touched = sorted(r["b"] for r in fresh.select(_bucket().alias("b")).union(stale.select(_bucket())).distinct().collect())
-    counts = {"embedded": fresh.count(), "removed": gone.count()}
+    stale = gone.union(known.join(ids.select("id"), "id", "left_semi").select("id", "source", F.lit(False))).withColumn("bucket", _bucket())
+    stale.repartition("bucket").write.partitionBy("bucket").parquet(left)
+    stale = spark.read.schema("id string, source string, gone boolean, bucket int").parquet(left)
+    touched = sorted(r["b"] for r in ids.select(_bucket().alias("b")).union(stale.select("bucket")).distinct().collect())
+    counts = {"embedded": ids.count(), "removed": stale.filter("gone").count()}
     counts["kept"] = known.count() - stale.count()
     if not touched:
         return counts
     where = f"data-{uuid.uuid4().hex}"
     mine = _read(spark, folder, {k: v for k, v in buckets.items() if int(k) in touched})
-    kept = mine.join(stale.select("id"), "id", "left_anti").select(*COLUMNS)
-    rows = kept.unionByName(embed(fresh).select(*COLUMNS)).withColumn("bucket", _bucket())
-    # tasks by bucket and part of it, so that a bucket with a hot source isn't one task
+    kept = _without(mine.select(*COLUMNS).withColumn("bucket", _bucket()), left)
+    # tasks by bucket and part of it, so that a bucket with a hot source isn't one task; vectors are made
+    # where their rows are written, as they are longer than texts
     parts = F.pmod(F.xxhash64("id"), F.lit(8))
-    rows.repartition(F.col("bucket"), parts).write.partitionBy("bucket").parquet(f"{folder}/{where}")
+    dealt = fresh.repartition(_bucket(), parts)
+    kept.unionByName(embed(dealt).select(*COLUMNS).withColumn("bucket", _bucket())).write.partitionBy("bucket").parquet(f"{folder}/{where}")
     filled = {n.partition("=")[2] for n in _names(spark, f"{folder}/{where}") if n.startswith("bucket=")}
     after = {k: v for k, v in buckets.items() if int(k) not in touched} | {k: where for k in filled}
     _published(spark, folder, number + 1, after)

@@ -47,6 +47,23 @@ def test_upsert(spark, tmp_path):
     assert put({})["removed"] == 1 and held() == set()
 
 
+def test_vectors_are_made_where_their_rows_are_written(spark, tmp_path):
+    """Rows with vectors aren't shuffled: those that are new are dealt before, those that stay are filtered where they lie."""
+    path, plans = str(tmp_path / "v"), []
+
+    def embed(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return embedding.hashed(rows)
+
+    texts = {f"s{k}": ["a", "b"] for k in range(200)}
+    put = lambda t: vectors.upsert(spark.createDataFrame(rows_of(t) + rows_of(t)[:3], SCHEMA), path, embed)  # noqa: E731  ids that come twice
+    assert put(texts) == {"embedded": 400, "removed": 0, "kept": 0}
+    assert put({**{f"s{k}": ["a", "c"] for k in range(150)}, **{f"s{k}": ["a"] for k in range(150, 200)}}) == {"embedded": 150, "removed": 50, "kept": 200}
+    assert all(p.startswith("RepartitionByExpression") for p in plans) and len(plans) == 2
+    found = vectors.current(spark, path).groupBy("text").count().collect()
+    assert dict(map(tuple, found)) == {"a": 200, "c": 150}
+
+
 def test_a_run_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "v")
     rows = lambda t: spark.createDataFrame(rows_of({"a": [t]}), SCHEMA)
