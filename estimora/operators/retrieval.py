@@ -14,7 +14,7 @@ from pyspark.sql import window as W
 from estimora.sources.shared import file_system, new_path
 
 #: Queries that a task reads at once, bytes of vectors that it holds, and scores that it computes at once.
-BLOCK_QUERIES, HELD_BYTES, SCORES_AT_ONCE = 1024, 32_000_000, 4_000_000
+BLOCK_QUERIES, HELD_BYTES, SCORES_AT_ONCE = 1024, 8_000_000, 1_000_000
 
 
 def unit_rows(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -30,7 +30,10 @@ def unit_rows(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, n
         sound = np.isfinite(norms) & (norms > 0)
         known = ids.to_numpy(zero_copy_only=False)[at][sound]
         order = np.argsort(known, kind="stable")
-        out[width] = known[order], (x[sound] / norms[sound, None])[order]
+        rows = np.flatnonzero(sound)[order]
+        x = x[rows]
+        x /= norms[rows, None]  # in place: a task holds few copies of its vectors
+        out[width] = known[order], x
     return out
 
 
@@ -47,13 +50,17 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def held(batches: Iterator[pa.RecordBatch], most: int = HELD_BYTES) -> Iterator[pa.Table]:
+    """Tables of some `most` bytes: small batches are put together, large ones are cut."""
     some, size = [], 0
-    for batch in batches:
-        some.append(batch)
-        size += batch.nbytes
-        if size >= most:
-            yield pa.Table.from_batches(some).combine_chunks()
-            some, size = [], 0
+    for whole in batches:
+        step = max(1, whole.num_rows * most // max(1, whole.nbytes))
+        for a in range(0, max(1, whole.num_rows), step):
+            batch = whole.slice(a, step)
+            some.append(batch)
+            size += batch.nbytes
+            if size >= most:
+                yield pa.Table.from_batches(some).combine_chunks()
+                some, size = [], 0
     if some:
         yield pa.Table.from_batches(some).combine_chunks()
 
@@ -92,6 +99,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                         scores = asked[a : a + step] @ x.T
                         rows, at = best(scores, k)
                         yield pa.RecordBatch.from_arrays([pa.array(query_ids[a + rows]), pa.array(vec_ids[at]), pa.array(scores[rows, at])], ["query_id", "vec_id", "score"])
+            del table, known
+            pa.default_memory_pool().release_unused()
 
     found = vectors.filter("vec_id IS NOT NULL").select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
     w = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -102,3 +102,10 @@ def test_pairs_of_query_and_posting_do_not_move(spark, tmp_path):
         spark.createDataFrame([(t, idf) for t in range(21)], "number int, idf double").write.parquet(str(tmp_path / f"known{idf}"))
         moved = sum(x.num_rows for x in lexical._scored(iter([batch]), *(str(tmp_path / x) for x in ("terms", f"known{idf}", "asked")), 500.0, k, 4_000_000, 40_000))
         assert 20 * k <= moved <= 20 * k * 20  # of 400,000 pairs
+
+
+def test_large_batches_are_cut():
+    batch = pa.RecordBatch.from_pydict({"x": pa.array(range(100_000), pa.int64())})
+    tables = list(retrieval.held(iter([batch, batch.slice(0, 10), batch.slice(0, 0)]), 80_000))
+    assert sum(t.num_rows for t in tables) == 100_010 and max(t.nbytes for t in tables) <= 2 * 80_000
+    assert [x for t in tables for x in t.column("x").to_pylist()] == [*range(100_000), *range(10)]
