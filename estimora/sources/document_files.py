@@ -39,8 +39,8 @@ CATEGORIES = (("standards", "Standard"), ("methodologies", "Methodology"), ("art
 SCHEMA = "source string, filename string, suffix string, category string, page int, text string, error string"
 #: Bytes and files of a partition, at most unless it is one file, and bytes of texts of a batch of rows.
 PARTITION_BYTES, PARTITION_FILES, BATCH_BYTES = 64_000_000, 10_000, 8_000_000
-#: How attempts and notes are called, and moves at once.
-ATTEMPTS, NOTE, MOVES_AT_ONCE = "_attempts-", "_commit-", 16
+#: How attempts and notes are called, moves at once, and those of one call.
+ATTEMPTS, NOTE, MOVES_AT_ONCE, MOVES_IN_A_RUN = "_attempts-", "_commit-", 16, 200
 
 Loader = Callable[[bytes], "str | list[str]"]
 
@@ -160,8 +160,11 @@ class Attempt(WriterCommitMessage):
 def _moved(store, source: str, target: str) -> None:
     from pyarrow import fs
 
-    if not isinstance(store, fs.LocalFileSystem) and store.get_file_info(target).is_file:
-        store.delete_file(target)  # a local rename replaces
+    if isinstance(store, fs.LocalFileSystem):
+        os.replace(source, target)
+        return
+    if store.get_file_info(target).is_file:
+        store.delete_file(target)
     store.move(source, target)
 
 
@@ -182,7 +185,8 @@ def _complete(store, base: str, note: str, attempts: list[str], overwrite: bool)
             if f.is_file and f.base_name not in names and not f.base_name.startswith(NOTE):
                 store.delete_file(f.path)
     with ThreadPoolExecutor(MOVES_AT_ONCE) as pool:
-        list(pool.map(lambda m: _moved(store, *m), moves))
+        # a run of moves is one call: a call for each costs more than a move
+        list(pool.map(lambda a: [_moved(store, *m) for m in moves[a : a + MOVES_IN_A_RUN]], range(0, len(moves), MOVES_IN_A_RUN)))
     if attempts:
         store.delete_dir(attempts[0].rpartition("/")[0])
     store.delete_file(f"{base}/{note}")

@@ -120,3 +120,23 @@ def test_partitions_by_bytes():
     assert document_files.dealt(files, 10, 100) == [["f0", "f1"], ["f2"], ["f3", "f4", "f5", "f6"]]
     assert document_files.dealt(files, 100, 3) == [["f0", "f1", "f2"], ["f3", "f4", "f5"], ["f6"]]
     assert document_files.dealt([], 10, 10) == []
+
+
+def test_moves_of_a_commit_are_few_calls(tmp_path, monkeypatch):
+    calls = []
+
+    class Pool(document_files.ThreadPoolExecutor):
+        def map(self, f, runs):
+            calls.extend(runs := list(runs))
+            return super().map(f, runs)
+
+    monkeypatch.setattr(document_files, "ThreadPoolExecutor", Pool)
+    attempt = tmp_path / "_attempts-j/a"
+    attempt.mkdir(parents=True)
+    for k in range(1001):
+        (attempt / f"{k}.md").write_text(str(k))
+    (tmp_path / "5.md").write_text("old")
+    (tmp_path / "_commit-j.json").write_text('{"names": []}')
+    store, base = document_files.file_system(str(tmp_path))
+    document_files._complete(store, base, "_commit-j.json", [str(attempt)], False)
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {f"{k}.md": str(k) for k in range(1001)} and len(calls) < 10
